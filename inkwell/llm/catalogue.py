@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring, suffix
+from . import mixing, quality, simhash, sketch, substring, suffix, urls
 from .common import table
 
 
@@ -29,5 +29,25 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_array_dedup, op4_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is bad if its label says low quality or toxic; labels have the ids of pages."""
+    bad = F.when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long"))
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sketch.fingerprints(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.text_of(F.col("sketch")).alias("fingerprint"), sketch.text_of(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "in_edited", "in_next")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_array_dedup, op4_simhash, op6_url_filters, op8_fingerprints, op9_quality, op10_mixing)}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": urls.oracle()}
