@@ -8,8 +8,14 @@ costs two lookups. Rounds, each a sort of names by Spark:
    runs that no other document names the same are dropped, and with them all that is unique.
 2. Surroundings: two anchors whose surroundings (all windows over the anchor) have one name make the later document's
    surroundings a repeat at once. One document for each name stays.
-3. What stays (the ends of repeats, and chance matches of an anchor) is judged window by window, by the pair of the
-   names of its halves.
+   A window that another document has reaches half of its rest beyond the anchor at one side at least; anchors whose
+   names up to there are unique at both sides are dropped.
+3. What stays (the ends of repeats) is judged window by window, by the pair of the names of its halves; each window
+   is looked up by its own anchor only.
+
+A slice of documents resolves what it can by itself before each round, and an anchor that many of its documents have in
+different surroundings goes straight to the third round, so that a hot passage weighs no more than the slices that
+have it.
 """
 
 from __future__ import annotations
@@ -25,8 +31,13 @@ from pyspark.sql import types as T
 
 from .common import SLICE_BYTES, mix, slices, staged, texts_of
 
-#: Position in the low bits; above it a hash of the text, as rows may share a doc_id.
-AT_BITS = 40
+#: Position in the low bits; above it a hash of the text, as rows may share a doc_id; then whether the
+#: anchor is open, or stands for others that are.
+AT_BITS, OPEN, CROWDED = 40, 1 << 62, 1 << 61
+#: Documents of a slice that may have an anchor in different surroundings and still bring it to the second round.
+HOT = 32
+#: Bits of a side's name; those of the surroundings' are above.
+SIDE = 12
 _BASE, _BACK = np.uint64(0x9E3779B97F4A7C15 | 5), np.uint64(pow(0x9E3779B97F4A7C15 | 5, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -60,18 +71,30 @@ def _sliding(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return f(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
+def _grams(sums: np.ndarray, gram: int) -> np.ndarray:
+    return mix((sums[gram:] - sums[:-gram]) * powers(len(sums) - gram)[1])
+
+
 def anchors(sums: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Starts of the runs that have the least name in some window, ascending."""
-    n = len(sums) - 1
-    if n < length:
+    if len(sums) - 1 < length:
         return np.empty(0, np.int64)
-    m, width = n - gram + 1, length - gram + 1
-    g = mix((sums[gram:] - sums[:-gram]) * powers(m)[1])
+    g, width = _grams(sums, gram), length - gram + 1
     least = _sliding(np.minimum, g, width)
     pad = np.zeros(width - 1, np.uint64)
     return np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, least, pad]), width) == g)
 
 
+def windows_of(sums: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Starts of the windows that have one of these anchors as theirs."""
+    g, width = _grams(sums, gram), length - gram + 1
+    least = _sliding(np.minimum, g, width)
+    start = at[:, None] - np.arange(width)
+    fits = (start >= 0) & (start < len(least))
+    start, own = start[fits], np.broadcast_to(at[:, None], fits.shape)[fits]
+    return np.unique(start[least[start] == g[own]])
+
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -106,14 +129,40 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _salt():
-    return F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), AT_BITS + 2)
+    return F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), AT_BITS + 3)
+
+
+def _late(doc: np.ndarray, *same: np.ndarray) -> np.ndarray:
+    """Rows of which an earlier document has one with the same names."""
+    order = np.lexsort((doc, *same))
+    first = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in same], axis=0)]
+    owner = doc[order][first][np.cumsum(first) - 1]
+    late = np.empty(len(doc), bool)
+    late[order] = doc[order] > owner
+    return late
+
+
+def _crowded(key: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of these rows those whose key more than HOT have, without and with the key's first and last document."""
+    order = rows[np.lexsort((doc[rows], key[rows]))]
+    edge = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+    large = np.flatnonzero(np.diff(edge) > HOT) if len(rows) else []
+    groups = [order[edge[i] : edge[i + 1]] for i in large]
+    inner = [g[(doc[g] != doc[g[0]]) & (doc[g] != doc[g[-1]])] for g in groups]
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *inner]), np.concatenate([none, *groups])
+
+
+def _lone(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Names that no other row has, for rows that need no other."""
+    return mix(at.astype(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _round_one(keyed: DataFrame, tokens: Tokens, length: int, gram: int) -> DataFrame:
     """key, ctx, doc_id, at: the anchors. What an earlier document of the same slice has with its surroundings is
-    a repeat already; it comes with a key of its own and a negative at, so that a hot passage weighs no more than
-    the slices that have it."""
+    a repeat already, and has a negative at; what is crowded is open already."""
     around = length - gram
+    side, below = (around + 1) // 2, np.uint64((1 << SIDE) - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 * SLICE_BYTES):
@@ -124,20 +173,24 @@ def _round_one(keyed: DataFrame, tokens: Tokens, length: int, gram: int) -> Data
                 sums = prefix_sums(tokens(text))
                 at = anchors(sums, length, gram)
                 if len(at):
-                    back = powers(len(sums))[1]
-                    low, high = np.maximum(at - around, 0), np.minimum(at + gram + around, len(sums) - 1)
+                    n, back = len(sums) - 1, powers(len(sums))[1]
+                    low, high = np.maximum(at - around, 0), np.minimum(at + gram + around, n)
+                    left = np.maximum(at - side, 0)
                     key = names(sums, at, at + gram, back[at])
-                    ctx = names(sums, low, high, back[low]) ^ (high - low).astype(np.uint64)
+                    ctx = mix(names(sums, low, high, back[low]) ^ (high - low).astype(np.uint64)) << np.uint64(2 * SIDE)
+                    ctx |= (names(sums, left, at + gram, back[left]) & below) << np.uint64(SIDE)
+                    ctx |= names(sums, at, np.minimum(at + gram + side, n), back[at]) & below
                     parts.append((key, ctx, np.full(len(at), doc), at | (int(salt) << AT_BITS)))
             if not parts:
                 continue
             key, ctx, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((doc, ctx))
-            first = np.r_[True, ctx[order][1:] != ctx[order][:-1]]
-            owner = doc[order][first][np.cumsum(first) - 1]
-            late = np.empty(len(at), bool)
-            late[order] = doc[order] > owner
-            key = np.where(late, mix(at.astype(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), key)
+            late = _late(doc, ctx, key)
+            crowd, whole = _crowded(key, doc, np.flatnonzero(~late))
+            at[whole] |= CROWDED
+            own = late.copy()
+            own[crowd] = True
+            key = np.where(own, _lone(at, doc), key)
+            at[crowd] |= OPEN
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(np.where(late, -1 - at, at))], ["key", "ctx", "doc_id", "at"])
 
     return keyed.mapInArrow(run, "key long, ctx long, doc_id long, at long")
@@ -147,15 +200,22 @@ def _round_two(found: DataFrame) -> DataFrame:
     """doc_id, salt, done (anchors whose surroundings are repeats), open (anchors to be judged window by window)."""
     same, all_ = Window.partitionBy("key", "ctx"), Window.partitionBy("key")
     judged = found.withColumn("first", F.min("doc_id").over(same)).withColumns({"low": F.min("doc_id").over(all_), "high": F.max("doc_id").over(all_), "one": F.min("ctx").over(all_) == F.max("ctx").over(all_)})
-    late = (F.col("at") < 0) | (F.col("doc_id") > F.col("first"))
-    judged = judged.where(late | ((F.col("low") < F.col("high")) & ~F.col("one"))).select("doc_id", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), late.alias("late"))
+    sure = (F.col("at") < 0) | (F.col("at") >= OPEN)
+    judged = judged.where(sure | (F.col("low") < F.col("high"))).withColumn("late", (F.col("at") < 0) | (F.col("doc_id") > F.col("first")))
+    sides = {"l": F.shiftright("ctx", SIDE).bitwiseAND(F.lit((1 << SIDE) - 1)), "r": F.col("ctx").bitwiseAND(F.lit((1 << SIDE) - 1))}
+    judged = judged.where(sure | F.col("late") | ~F.col("one")).withColumns(sides)
+    shared = [F.min("doc_id").over(w) < F.max("doc_id").over(w) for w in (Window.partitionBy("key", "l"), Window.partitionBy("key", "r"))]
+    crowded = F.max((F.col("at") > 0) & (F.col("at").bitwiseAND(F.lit(CROWDED)) != 0)).over(all_)
+    judged = judged.withColumn("near_c", crowded).withColumn("near_l", shared[0]).withColumn("near_r", shared[1]).where(sure | F.col("late") | F.col("near_c") | F.col("near_l") | F.col("near_r"))
+    plain = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at").bitwiseAND(F.lit(CROWDED - 1)))
+    judged = judged.select("doc_id", plain.alias("at"), "late")
     at = F.col("at").bitwiseAND(F.lit((1 << AT_BITS) - 1))
     return judged.groupBy("doc_id", F.shiftright("at", AT_BITS).alias("salt")).agg(F.collect_list(F.when(F.col("late"), at)).alias("done"), F.collect_list(F.when(~F.col("late"), at)).alias("open"))
 
 
 def _round_three(keyed: DataFrame, two: DataFrame, tokens: Tokens, length: int, gram: int) -> DataFrame:
     """doc_id, salt, starts: the windows over open anchors that an earlier document has too."""
-    half, around = length // 2, length - gram
+    half = length // 2
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -163,18 +223,18 @@ def _round_three(keyed: DataFrame, two: DataFrame, tokens: Tokens, length: int,
             open_ = batch.column("open")
             for i, (text, doc, salt) in enumerate(zip(texts_of(batch), batch.column("doc_id").to_numpy(), batch.column("salt").to_numpy(), strict=True)):
                 sums = prefix_sums(tokens(text))
-                at = open_[i].values.to_numpy()
-                start = np.unique((at[:, None] - np.arange(around + 1)).ravel())
-                start = start[(start >= 0) & (start <= len(sums) - 1 - length)]
+                start = windows_of(sums, open_[i].values.to_numpy(), length, gram)
                 back = powers(len(sums))[1]
                 a, b = names(sums, start, start + half, back[start]), names(sums, start + half, start + length, back[start + half])
                 parts.append((a, b, np.full(len(start), doc), start | (int(salt) << AT_BITS)))
             a, b, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(start)], ["a", "b", "doc_id", "at"])
+            late = _late(doc, b, a)
+            a = np.where(late, _lone(start, doc), a)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(np.where(late, -1 - start, start))], ["a", "b", "doc_id", "at"])
 
     open_ = two.where(F.size("open") > 0).select("doc_id", "salt", "open")
     windows = keyed.join(open_, ["doc_id", "salt"]).mapInArrow(run, "a long, b long, doc_id long, at long")
-    judged = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("a", "b"))).where("doc_id > first")
+    judged = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("a", "b"))).where("doc_id > first or at < 0").withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
     return judged.groupBy("doc_id", F.shiftright("at", AT_BITS).alias("salt")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << AT_BITS) - 1))).alias("starts"))
 
 

@@ -151,3 +151,18 @@ def test_links_reach_all_near_pairs_in_crowded_buckets(spark):
             if low < label[a]:
                 label[a], changed = low, True
     assert {x: roots.get(x, x) for x in fps} == label
+
+
+def test_crowded_passages(spark, monkeypatch):
+    """A passage that many documents of a slice share, cut at different places, between texts of their own."""
+    from inkwell.llm import spans
+
+    monkeypatch.setattr(spans, "HOT", 3)
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(30)] + passage[r.randint(0, 25) : r.randint(45, 70)] + [f"b{i}x{k}" for k in range(30)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring.dedup_digest(df).select("doc_id", "n_tokens", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == expect_words(rows, 50)
+    got = suffix.dedup_digest(df).select("doc_id", "n_tokens", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == expect_bytes(rows, 50)
