@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -33,17 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, wait: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage is cut, and lost executors cost nothing of it.
 
-    Shuffle files of what led to df are freed at once where the driver no longer refers to them.
+    Shuffle files of what led to df are freed where the driver no longer refers to them; wait: before this returns, for
+    what is large beside the input.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
-    release(spark)
+    for _ in range(3 if wait else 1):  # the gateway, the collector and the cleaner each take a moment
+        release(spark)
+        time.sleep(0.5 * wait)
     return spark.read.schema(schema).parquet(path)
 
 

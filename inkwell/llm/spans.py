@@ -258,8 +258,8 @@ def removed_runs(n: int, done, open_starts, length: int, gram: int) -> np.ndarra
 def repeats(docs: DataFrame, tokens: Tokens, length: int, gram: int) -> DataFrame:
     """doc_id, salt, done, starts for the documents that repeat something."""
     keyed = _keys(docs)
-    two = staged(_round_two(_round_one(keyed, tokens, length, gram)), "anchors")
-    three = staged(_round_three(keyed, two, tokens, length, gram), "windows")
+    two = staged(_round_two(_round_one(keyed, tokens, length, gram)), "anchors", wait=True)
+    three = staged(_round_three(keyed, two, tokens, length, gram), "windows", wait=True)
     return two.select("doc_id", "salt", "done").join(three, ["doc_id", "salt"], "full").where("size(done) > 0 or size(starts) > 0")
 
 
