@@ -85,12 +85,18 @@ def anchors(sums: np.ndarray, length: int, gram: int) -> np.ndarray:
     return np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, least, pad]), width) == g)
 
 
-def windows_of(sums: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Starts of the windows that have one of these anchors as theirs."""
+def windows_of(sums: np.ndarray, given: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Starts of the windows that have one of these anchors as theirs and hold no side that is unique.
+
+    given: four times the anchor, and 1 if its left side is shared, 2 if its right side is.
+    """
+    at, left, right = given >> 2, (given & 1 > 0)[:, None], (given & 2 > 0)[:, None]
+    around = length - gram
+    side, back = (around + 1) // 2, np.arange(around + 1)
     g, width = _grams(sums, gram), length - gram + 1
     least = _sliding(np.minimum, g, width)
-    start = at[:, None] - np.arange(width)
-    fits = (start >= 0) & (start < len(least))
+    start = at[:, None] - back
+    fits = (start >= 0) & (start < len(least)) & (left | (back < side)) & (right | (around - back < side))
     start, own = start[fits], np.broadcast_to(at[:, None], fits.shape)[fits]
     return np.unique(start[least[start] == g[own]])
 
@@ -208,9 +214,11 @@ def _round_two(found: DataFrame) -> DataFrame:
     crowded = F.max((F.col("at") > 0) & (F.col("at").bitwiseAND(F.lit(CROWDED)) != 0)).over(all_)
     judged = judged.withColumn("near_c", crowded).withColumn("near_l", shared[0]).withColumn("near_r", shared[1]).where(sure | F.col("late") | F.col("near_c") | F.col("near_l") | F.col("near_r"))
     plain = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at").bitwiseAND(F.lit(CROWDED - 1)))
-    judged = judged.select("doc_id", plain.alias("at"), "late")
+    both = (F.col("at") >= OPEN) | F.col("near_c")
+    near = F.when(both, 3).otherwise(F.col("near_l").cast("int") + 2 * F.col("near_r").cast("int"))
+    judged = judged.select("doc_id", plain.alias("at"), "late", near.alias("near"))
     at = F.col("at").bitwiseAND(F.lit((1 << AT_BITS) - 1))
-    return judged.groupBy("doc_id", F.shiftright("at", AT_BITS).alias("salt")).agg(F.collect_list(F.when(F.col("late"), at)).alias("done"), F.collect_list(F.when(~F.col("late"), at)).alias("open"))
+    return judged.groupBy("doc_id", F.shiftright("at", AT_BITS).alias("salt")).agg(F.collect_list(F.when(F.col("late"), at)).alias("done"), F.collect_list(F.when(~F.col("late"), 4 * at + F.col("near"))).alias("open"))
 
 
 def _round_three(keyed: DataFrame, two: DataFrame, tokens: Tokens, length: int, gram: int) -> DataFrame:
