@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, in the regex dialects of Java, Python and RE2. bytes.split() without arguments cuts at the same six bytes.
@@ -86,6 +86,25 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+#: Rows that a sample of n is drawn from: this many times n and some more. Fewer than n come of it with a chance below 1e-60.
+SURPLUS, MORE = 4, 200
+
+
+def least(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """At most n rows of each group, the first by the first column of order, a 64-bit hash, then by the others; rank has their place.
+
+    Rows whose hash is above the share that SURPLUS * n + MORE rows have of their group go first, all but those of the
+    least hash, so that the one task that ranks a group gets a number of rows that does not grow with the input. Groups
+    are few: one row of each is broadcast.
+    """
+    hashed = rows.withColumn("__h", order[0])
+    sizes = hashed.groupBy(group).agg(F.count("*").alias("__n"), F.min("__h").alias("__low"))
+    share = F.lit(float(SURPLUS * n + MORE)) / F.col("__n")
+    near = hashed.join(F.broadcast(sizes), group).where(((F.col("__h").cast("double") + 2.0**63) / 2.0**64 <= share) | (F.col("__h") == F.col("__low")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("__h", *order[1:])))
+    return ranked.where(F.col("rank") <= n).drop("__h", "__n", "__low")
+
+
 def bucket(column: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -6,7 +6,7 @@ it, and so are the contexts with their interpolation weights. A text gets the la
 character; it is rejected where that entropy is above what held-back training texts of the language have.
 
 The models are fitted on a sample of SAMPLE_DOCS texts and SAMPLE_CHARS characters of each language, chosen by a hash
-of the id; this bounds the driver's work and the size of the models. Every text is scored whole.
+of the id and the text; this bounds the driver's work and the size of the models. Every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; rows without a language are
 not learned from; where no language is learned every text is `und`; repeated rows count as often as they are drawn;
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices
+from .common import least, mix, slices
 
 ORDER, DISCOUNT = 5, 0.75
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 2_000_000
@@ -163,7 +163,7 @@ def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS)
     """doc_id, text, lang of rows to learn from -> models. A fifth of the sample is held back for calibration."""
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text")
     few = rows.select("doc_id", "lang", F.xxhash64("text").alias("t"), F.length("text").alias("n"))
-    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t"))).where(F.col("rank") <= docs)
+    few = least(few, "lang", [F.xxhash64("doc_id", "t"), F.col("doc_id"), F.col("t")], docs)
     run = F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     few = few.withColumn("sum", run).where((F.col("sum") <= chars) | (F.col("rank") == 1)).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), "t").distinct()
     chosen = rows.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("t")))

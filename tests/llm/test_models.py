@@ -5,9 +5,11 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkwell.llm import catalogue, language, mixing, pieces, toxicity
+from inkwell.llm.common import least
 from test_dedup import brute_runs, brute_simhash, words
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -162,3 +164,14 @@ def test_pipeline_edges(spark):
             assert out.columns == docs.columns
             out = spark.createDataFrame(out.collect(), docs.schema)
         corpus_pipeline.encode(spark, out, MEDIUM).count()
+
+
+def test_least_is_a_sort_cut_at_n(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") < 30, "b").otherwise("a").alias("g"))
+    same = spark.createDataFrame([(7, "c")] * 3000, "id long, g string")
+    found = least(rows.union(same), "g", [F.xxhash64("id"), F.col("id")], 40)
+    got = {g: sorted(r.id for r in found.where(F.col("g") == g).collect()) for g in "abc"}
+    hashes = {r.id: r.h for r in rows.select("id", F.xxhash64("id").alias("h")).collect()}
+    assert got["a"] == sorted(sorted(range(30, 20_000), key=lambda i: (hashes[i], i))[:40])
+    assert got["b"] == list(range(30)) and got["c"] == [7] * 40
+    assert not least(rows.where("false"), "g", [F.xxhash64("id"), F.col("id")], 40).count()
