@@ -18,12 +18,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
-from .common import mix, slices, texts_of
+from .common import least, mix, slices, texts_of
 
 WINDOW, STRIDE, HIDDEN, DIM, ATTEND = 32, 16, 8, 8, 8
 WORDS, GRAMS = 1 << 16, 1 << 16
@@ -246,8 +246,7 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """docs (doc_id, text), labels (doc_id, toxic) of rows to learn from."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").distinct()
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = known.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "toxic")
+    few = least(known, "toxic", [F.xxhash64("doc_id"), F.col("doc_id")], sample).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
     net = Network()
