@@ -66,8 +66,9 @@ def test_cleaning_cases(spark, step, text, expected):
 
 def test_cleaning_twice_is_cleaning_once(spark):
     text = "It is fine, I think.\n\nWe go on - and on."
-    for name in ("v5", "v2", "v1_neg"):
-        assert apply(spark, lambda t, n=name: clean.clean(clean.clean(t, n), n), text) == apply(spark, lambda t, n=name: clean.clean(t, n), text) == text
+    # the first generation's cleaner of the negative class takes the first blank line for the end of the header
+    for name, expected in (("v5", text), ("v4", text), ("v2", text), ("v1_pos", text), ("v1_neg", text.replace("\n\n", "\n"))):
+        assert apply(spark, lambda t, n=name: clean.clean(clean.clean(t, n), n), text) == apply(spark, lambda t, n=name: clean.clean(t, n), text) == expected
 
 
 def test_feature_case(spark):
