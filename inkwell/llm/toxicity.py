@@ -3,7 +3,7 @@
 A word comes in twice: as an embedding of its hash, and as the mean of embeddings of its character n-grams of three and
 four bytes, with the highest log-odds of label 1 that one of them has among the training texts. Windows of
 WINDOW words overlap by half and cover the whole text; a text's score is that of its worst window, calibrated on the
-training texts. The network is fitted on SAMPLE texts of each class, chosen by a hash of the id, by turns finding each
+training texts. The network is fitted on SAMPLE texts of label 1 and CLEAN of label 0, chosen by a hash of the id, by turns finding each
 text's worst window and descending on it; word embeddings start with the smoothed log-odds of the classes, as one of
 their coordinates.
 
@@ -28,7 +28,7 @@ from .common import least, mix, slices, texts_of
 WINDOW, STRIDE, HIDDEN, DIM, ATTEND = 32, 16, 8, 8, 8
 WORDS, GRAMS = 1 << 16, 1 << 16
 INPUT = 2 * DIM + 1
-SAMPLE, ROUNDS, BATCH, RATE, SEED = 1000, 6, 128, 0.01, 7
+SAMPLE, CLEAN, ROUNDS, BATCH, RATE, SEED = 1000, 2000, 6, 128, 0.01, 7
 #: Texts that are added to either class for the log-odds.
 SMOOTH = 5
 #: Windows that are scored at once.
@@ -243,11 +243,11 @@ class Network:
         return _sigmoid(self.slope * logit.astype(np.float64) + self.shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int = CLEAN) -> Network:
     """docs (doc_id, text), labels (doc_id, toxic) of rows to learn from."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").distinct()
-    few = least(known, "toxic", [F.xxhash64("doc_id"), F.col("doc_id")], sample).select("doc_id", "toxic")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id").collect()
+    few = [least(known.where(F.col("toxic") == y), "toxic", [F.xxhash64("doc_id"), F.col("doc_id")], n).select("doc_id", "toxic") for y, n in ((0, clean), (1, sample))]
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few[0].unionByName(few[1])), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
     net = Network()
     net.train([r.text.encode("utf-8", "replace") for r in rows], np.array([r.toxic for r in rows], np.int64))
