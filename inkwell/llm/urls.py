@@ -7,7 +7,8 @@ its posterior share exceeds max_bad. All of it is DataFrame functions; the table
 aggregation, so a hot host is one row a task before any shuffle.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule, and is judged like any host
-(the empty one); null outcomes are left out; repeated outcomes each count; hosts without outcomes have their prior;
+(the empty one); null outcomes are left out; repeated outcomes each count; hosts without outcomes are
+allowed unless a rule fits, whatever their domain's share (their prior is not applied: see REPLY_r01.md);
 no outcomes at all give a mean of one half and nothing is blocked; an empty table gives an empty result.
 """
 
