@@ -496,7 +496,7 @@ def url_topic_id(spark, sf_dir):
 
 @query()
 def forum_posts(spark, sf_dir):
-    body = F.concat(F.lit('<td class="poster_info"><a href="u">'), "source", F.lit('</a></td><div class="post">'), F.left("text", F.lit(500)), F.lit("</div>"))
+    body = F.concat(F.lit('<td class="poster_info"><a href="u">'), "source", F.lit('</a></td><div class="post">'), "text", F.lit("</div>"))
     return docs(spark, sf_dir).select("doc_id", F.inline(html.posts(F.concat(body, body))))
 
 

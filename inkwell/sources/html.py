@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.text import strip
 
@@ -54,16 +54,6 @@ def topic(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"topic=(\d+)", 1), F.lit("")).cast("long")
 
 
-def posts(html: Column, least: int = 30) -> Column:
-    """author and text of each div.post; the author stands in the nearest td.poster_info before it."""
-    parts = F.slice(F.split(html, r'(?i)(?=<td[^>]*class="poster_info)', -1), 1, 1_000_000)
-    one = lambda p: F.struct(
-        F.coalesce(F.nullif(strip(F.regexp_extract(p, r'(?is)class="poster_info[^>]*>.*?<a\b[^>]*>(.*?)</a', 1)), F.lit("")), F.lit("unknown")).alias("author"),
-        strip(F.regexp_replace(decode(F.regexp_extract(p, r'(?is)<div\b[^>]*class="post"[^>]*>(.*?)</div', 1)), r"<[^>]*>", "\n")).alias("text"),
-    )
-    return F.filter(F.transform(parts, one), lambda x: F.length(x["text"]) >= least)
-
-
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__()
@@ -90,3 +80,62 @@ def tree_text(html: pd.Series) -> pd.Series:
         return "\n".join(tree.out)
 
     return html.map(one)
+
+
+class _Posts(HTMLParser):
+    """author and text of each div.post, its inner divs included; the author is the first link of the nearest td.poster_info before it."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.open, self.found = 0, [], []
+        self.cells, self.cell, self.author, self.link = 0, 0, None, None
+
+    def handle_starttag(self, tag, attrs):
+        kinds = (dict(attrs).get("class") or "").split()
+        if tag == "div":
+            self.depth += 1
+            if "post" in kinds:
+                post = {"at": self.depth, "author": self.author, "text": []}
+                self.open.append(post)
+                self.found.append(post)
+        elif tag == "td":
+            self.cells += 1
+            if "poster_info" in kinds:
+                self.cell, self.author, self.link = self.cells, None, None
+        elif tag == "a" and self.cell and self.author is None:
+            self.link = []
+
+    def handle_endtag(self, tag):
+        if tag == "div" and self.depth:
+            self.open = [p for p in self.open if p["at"] < self.depth]
+            self.depth -= 1
+        elif tag == "td" and self.cells:
+            if self.cell == self.cells:
+                self.cell = 0
+            self.cells -= 1
+        elif tag == "a" and self.link is not None:
+            self.author, self.link = "".join(self.link).strip(), None
+
+    def handle_data(self, data):
+        if self.cdata_elem:
+            return  # script or style
+        for post in self.open:
+            post["text"].append(data)
+        if self.link is not None:
+            self.link.append(data)
+
+
+@F.pandas_udf(ArrayType(StructType().add("author", "string").add("text", "string")))
+def _posts(html: pd.Series) -> pd.Series:
+    def one(x):
+        page = _Posts()
+        page.feed(x or "")
+        page.close()
+        return [{"author": p["author"] or "unknown", "text": "\n".join(p["text"]).strip()} for p in page.found]
+
+    return html.map(one)
+
+
+def posts(html: Column, least: int = 30) -> Column:
+    """author and text of each div.post, of texts of `least` characters or more; inner divs belong to the text."""
+    return F.filter(_posts(html), lambda x: F.length(x["text"]) >= least)
