@@ -520,24 +520,24 @@ def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lr_cv(spark, sf_dir):
-    return model.cross_validate(_folded(spark, sf_dir), X.names(), "lr", total_weight=300.0)
+    return model.cross_validate(_folded(spark, sf_dir), X.names(), "lr")
 
 
 @query()
 def rf_holdout(spark, sf_dir):
-    return model.cross_validate(_folded(spark, sf_dir), X.names(), "rf", folds=1, trees=50)
+    return model.cross_validate(_folded(spark, sf_dir), X.names(), "rf", folds=1, trees=200)
 
 
 @query()
 def gbt_holdout(spark, sf_dir):
-    return model.cross_validate(_folded(spark, sf_dir), X.names(), "gbt", folds=1, rounds=20)
+    return model.cross_validate(_folded(spark, sf_dir), X.names(), "gbt", folds=1, rounds=200)
 
 
 @query()
 def grid_best(spark, sf_dir):
     """Mean F1 of each classifier on each family of features; the best is the first of the highest."""
     rows, families = _folded(spark, sf_dir), {"words": [c for c in X.names() if c.startswith("fw_")], "all": X.names()}
-    grid = [(f, k, model.cross_validate(rows, names, k, folds=1, **({"total_weight": 300.0} if k == "lr" else {"trees": 20}))) for f, names in families.items() for k in ("lr", "rf")]
+    grid = [(f, k, model.cross_validate(rows, names, k, folds=1, **({} if k == "lr" else {"trees": 20}))) for f, names in families.items() for k in ("lr", "rf")]
     parts = [d.select(F.lit(i).alias("rank"), F.lit(f).alias("family"), F.lit(k).alias("kind"), F.coalesce("f1", F.lit(0.0)).alias("f1")) for i, (f, k, d) in enumerate(grid)]
     return reduce(DataFrame.unionByName, parts)
 
