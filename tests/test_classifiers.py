@@ -23,3 +23,12 @@ def test_queries_ask_for_the_reference_sizes(spark, monkeypatch):
     for q in (catalogue.lr_cv, catalogue.rf_holdout, catalogue.gbt_holdout):
         q(spark, SMALL)
     assert seen == [("lr", None), ("rf", 200), ("gbt", 200)]
+
+
+def test_kernel_bound_is_a_parameter(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(model.KernelMachine, "fit", lambda self, x, y: seen.append(len(x)) or self)
+    rows = spark.range(50).selectExpr("id doc_id", "int(id % 2) label", "double(id) x")
+    model.fit_kernel(rows, ["x"], most=20)
+    model.fit_kernel(rows, ["x"])
+    assert seen == [20, 50]
