@@ -1,6 +1,6 @@
 """Substring dedup: documents are parsed into factors that an earlier document has too, and long factors are removed.
 
-A relative Lempel-Ziv parse. The reference blocks are the surroundings of sampled word runs of every document; their
+Anchor windows joined by hash (`spans.repeats`), in place of a greedy relative Lempel-Ziv parse. The reference blocks are the surroundings of sampled word runs of every document; their
 index is dealt over the cluster by the names of these runs, so a document is factored against each block that can hold
 a factor of it and no other. A factor that fills a block is found by the block's name; where it ends within a block,
 the windows across its boundary are looked up one by one, and those that an earlier document has extend it. Factors of

@@ -1,10 +1,7 @@
 """Suffix-array dedup: bytes covered by a long string that also starts in an earlier document are removed.
 
-Distributed prefix doubling over text positions. Spark sorts (name, next name) pairs at growing offsets, and positions
-whose name is unique leave after each round, until the names span the threshold: 16 bytes, then 33 to either side and all that
-surrounds them, then pairs of 25 bytes, which make the 50 of the threshold. Only positions that can start a match are
-kept from the first round on, one of each window at least. Names are hashes in place of dense ranks, so a round needs
-no join to find the name at an offset; a pair of names is 128 bits. See spans.py.
+Anchor windows joined by hash (`spans.repeats`), in place of prefix doubling: names of fixed lengths come from prefix sums,
+in three lookups; no rank pairs are sorted and nothing is reranked.
 
 Defined cases: a text is its UTF-8 bytes, a null text is empty; matches never cross documents; rows without a doc_id are
 kept whole and match nothing; rows that share a doc_id don't count as earlier than each other; an empty table gives an
