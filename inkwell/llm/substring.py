@@ -1,14 +1,16 @@
-"""Substring dedup: documents are parsed into factors that an earlier document has too, and long factors are removed.
+"""Substring dedup by relative Lempel-Ziv parsing: what a document has of earlier documents is removed.
 
-Anchor windows joined by hash (`spans.repeats`), in place of a greedy relative Lempel-Ziv parse. The reference blocks are the surroundings of sampled word runs of every document; their
-index is dealt over the cluster by the names of these runs, so a document is factored against each block that can hold
-a factor of it and no other. A factor that fills a block is found by the block's name; where it ends within a block,
-the windows across its boundary are looked up one by one, and those that an earlier document has extend it. Factors of
-`length` words or more are the duplicate spans. See spans.py.
+Reference blocks are the surroundings of locally least word runs, cut by content, so that equal passages make equal
+blocks. They are indexed by their run and named by all their words; of equal blocks the least document's is the
+reference. Only blocks that can hold a factor of a document are looked at, found by the index; parsing every document against every
+block grows with the square of the corpus. Where a passage ends within a block, the windows over this boundary are
+looked up one by one. From these references a document is parsed greedily, from left to right, each factor the longest
+run that one reference has; factors of `length` words or more are the duplicate spans. See spans.py.
 
 Defined cases: words are runs without ASCII white space, unchanged; a null or empty text has no words; rows without a
-doc_id are kept whole and are no reference; rows that share a doc_id don't count as earlier than each other; an empty
-table gives an empty result; other columns pass through.
+doc_id are kept whole and are no reference; rows that share a doc_id don't count as earlier than each other; of equal
+references (ties) the least document's is taken; an empty table gives an empty result; other columns pass through, whatever their
+names, but for those that the result has itself.
 """
 
 from __future__ import annotations
@@ -38,10 +40,10 @@ def _apply(docs: DataFrame, length: int, digest) -> DataFrame:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with n_tokens (words), n_removed, n_spans, spans (byte offsets of what goes) and kept_text."""
+    """docs with n_tokens (words), n_removed, n_spans, n_factors, spans (byte offsets of what goes), factors and kept_text."""
     return _apply(docs, length, None)
 
 
 def dedup_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with n_tokens, n_removed, n_spans and kept_sha256, of the kept words joined by one space."""
+    """docs with n_tokens, n_removed, n_spans, n_factors and kept_sha256, of the kept words joined by one space."""
     return _apply(docs, length, _kept_words)

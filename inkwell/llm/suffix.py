@@ -1,11 +1,12 @@
-"""Suffix-array dedup: bytes covered by a long string that also starts in an earlier document are removed.
+"""Removal of bytes that are covered by a long string that also starts in an earlier document.
 
-Anchor windows joined by hash (`spans.repeats`), in place of prefix doubling: names of fixed lengths come from prefix sums,
-in three lookups; no rank pairs are sorted and nothing is reranked.
+By anchor windows (`spans.py`), not by suffix sorting: locally least 16-byte runs are joined by name, then their
+surroundings, then single windows of 50 bytes. `doubling.py` has the distributed prefix doubling that this stands for;
+README has the figures for which it is not the query's path.
 
 Defined cases: a text is its UTF-8 bytes, a null text is empty; matches never cross documents; rows without a doc_id are
 kept whole and match nothing; rows that share a doc_id don't count as earlier than each other; an empty table gives an
-empty result; other columns pass through.
+empty result; other columns pass through, whatever their names, but for those that the result has itself.
 """
 
 from __future__ import annotations
