@@ -2,8 +2,8 @@
 
 Counts of every whole text are made once and written to the shared folder. Quantile sketches (Greenwald-Khanna, merged
 over partitions) of four shares give each (language, source) its quartiles, and a document is dropped where a share lies
-further beyond the quartiles than `reach` interquartile ranges and a slack. Groups of few documents use the quartiles of
-their language, and those of few the quartiles of all.
+further beyond the quartiles than `reach` interquartile ranges and a slack. Quartiles of a group are drawn to those of
+its language as if `prior` documents more had these, and those of a language to all documents' in the same way.
 
 Defined cases: a null text has no words; a null language or source is a group of its own; fixed base rules drop texts
 of under 50 words, and those of which over half of the words lie in repeated three-word windows; documents that fail
@@ -16,14 +16,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
 from .common import slices, staged, texts_of
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-REACH, FEW, ACCURACY = 3.0, 100, 1000
+REACH, PRIOR, ACCURACY = 3.0, 100.0, 1000
+#: Parts that the documents of a hot (language, source) are dealt to.
+PARTS = 16
 #: Shares, and what a document may lie beyond its group's reach.
 SLACK = {"symbols": 0.05, "dup_lines": 0.25, "repeats": 0.2, "length": 2.0}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -35,20 +37,18 @@ _WINDOW = 3
 def counts(text: bytes) -> tuple[int, ...]:
     """The COUNTS of a text."""
     raw = np.frombuffer(text, np.uint8)
-    words = spans.word_tokens(text)
+    seen: dict[bytes, int] = {}
+    words = np.array([seen.setdefault(w, len(seen)) for w in text.split()], np.int64)  # numbers, not hashes: equal words alone are equal
     n = len(words)
     chars = int((((raw & 0xC0) != 0x80) & ~spans._GAP[raw]).sum())
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]
     repeated = 0
     if n > _WINDOW:
-        sums = spans.prefix_sums(words)
-        back = spans.powers(n + 1)[1]
-        grams = spans.names(sums, np.arange(n - _WINDOW + 1), np.arange(_WINDOW, n + 1), back[: n - _WINDOW + 1])
-        order = np.argsort(grams, kind="stable")
-        same = grams[order][1:] == grams[order][:-1]
+        grams = words
+        for k in range(1, _WINDOW):
+            grams = np.unique(grams[: n - k] * len(seen) + words[k:], return_inverse=True)[1]
         twice = np.zeros(n, bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        twice[: len(grams)] = np.bincount(grams)[grams] > 1
         inside = twice.copy()
         for k in range(1, _WINDOW):
             inside[k:] |= twice[: n - k]
@@ -68,23 +68,36 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _quartiles(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """Number of documents (<prefix>_n) and quartiles of each share (<prefix>_<share>) by keys."""
     return rows.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_n"), *(F.percentile_approx(s, [0.25, 0.75], ACCURACY).alias(f"{prefix}_{s}") for s in SLACK))
 
 
-def judge(docs: DataFrame, reach: float = REACH, few: int = FEW) -> DataFrame:
-    """doc_id, the COUNTS, base_failed, kept and failed (the shares out of reach)."""
-    shares = {"symbols": F.try_divide("n_symbols", "word_chars"), "dup_lines": F.try_divide("n_dup_lines", "n_lines"), "repeats": F.try_divide("n_repeat_words", "n_words"), "length": F.try_divide("word_chars", "n_words")}
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    rows = staged(measured(docs), "counts").withColumns(shares).withColumn("base_failed", failed)
-    good = rows.where("not base_failed")
+def _shrunk(n: Column, own: Column, wider: Column, prior: float) -> Column:
+    """A quartile of n documents, drawn to the wider group's as if `prior` documents more had that one."""
+    return (n * own + prior * wider) / (n + prior)
+
+
+def limits(good: DataFrame, reach: float, prior: float) -> DataFrame:
+    """g_lang, g_source and, for each share, low_ and high_: what a document of the group may have."""
     small, mid, all_ = (_quartiles(good, keys, p) for keys, p in ((["lang", "source"], "s"), (["lang"], "m"), ([], "a")))
-    keys = [F.col("lang").eqNullSafe(F.col("g_lang")), F.col("source").eqNullSafe(F.col("g_source"))]
-    limits = small.join(mid.withColumnRenamed("lang", "m_lang"), F.col("lang").eqNullSafe(F.col("m_lang"))).crossJoin(all_)
+    joined = small.join(mid.withColumnRenamed("lang", "m_lang"), F.col("lang").eqNullSafe(F.col("m_lang"))).join(F.broadcast(all_))  # all_ is one row
     edge = []
     for s, slack in SLACK.items():
-        q = F.when(F.col("s_n") >= few, F.col(f"s_{s}")).when(F.col("m_n") >= few, F.col(f"m_{s}")).otherwise(F.col(f"a_{s}"))
+        q = [_shrunk(F.col("s_n"), F.col(f"s_{s}")[i], _shrunk(F.col("m_n"), F.col(f"m_{s}")[i], F.col(f"a_{s}")[i], prior), prior) for i in (0, 1)]
         edge += [(q[0] - reach * (q[1] - q[0]) - slack).alias(f"low_{s}"), (q[1] + reach * (q[1] - q[0]) + slack).alias(f"high_{s}")]
-    limits = limits.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *edge)
-    out = F.filter(F.array(*(F.when((F.col(s) < F.col(f"low_{s}")) | (F.col(s) > F.col(f"high_{s}")), s) for s in SLACK)), lambda x: x.isNotNull())
-    judged = rows.join(limits, keys[0] & keys[1], "left").withColumn("failed", out)
+    return joined.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *edge)
+
+
+def judge(docs: DataFrame, reach: float = REACH, prior: float = PRIOR) -> DataFrame:
+    """doc_id, the COUNTS, base_failed, kept and failed (the shares out of reach)."""
+    ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    shares = {"symbols": ratio("n_symbols", "word_chars"), "dup_lines": ratio("n_dup_lines", "n_lines"), "repeats": ratio("n_repeat_words", "n_words"), "length": ratio("word_chars", "n_words")}
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    rows = staged(measured(docs), "counts").withColumns(shares).withColumn("base_failed", failed)
+    dealt = limits(rows.where("not base_failed"), reach, prior).withColumn("g_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(PARTS)).cast("int")
+    same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("part") == F.col("g_part"))
+    beyond = lambda s: (F.col(s) < F.col(f"low_{s}")) | (F.col(s) > F.col(f"high_{s}"))
+    out = F.filter(F.array(*(F.when(beyond(s), s) for s in SLACK)), lambda x: x.isNotNull())
+    judged = rows.withColumn("part", part).join(dealt, same, "left").withColumn("failed", out)
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
