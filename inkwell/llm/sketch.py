@@ -3,11 +3,12 @@
 A shingle is five consecutive words (fewer words: the whole sequence), hashed by XXH64; a sketch is the set of all
 hashes below a fixed fraction of the range. Sketches of parts merge to the sketch of the whole by union, and the shares
 of common hashes estimate resemblance and containment however unequal the documents are. A text with words of which
-no hash is below the fraction keeps its least hash, so that short texts can be told apart too.
+no hash is below the fraction keeps its least hash, so that short texts can be told apart too; merging applies the
+same rule, so a merged sketch is the sketch of the whole.
 
 Defined cases: a null text is empty; a text without words has an empty sketch and an empty fingerprint; two empty
 sketches are alike (1), an empty one and another aren't (0); equal texts have equal fingerprints; an empty table gives
-an empty result; rows that share a doc_id follow each other by text; rows without a doc_id come last.
+an empty result; rows that share a doc_id follow each other by a hash of the text; rows without a doc_id come last.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 SHINGLE, FRACTION = 5, 0.25
-#: Document ids that are ordered in one task at once: a range of ids, and of ranges.
-RANGE, RANGES = 1024, 4096
-_LAST = (1 << 63) - 1
+#: Documents that are ordered in one task at once, about; parts of the order of all documents, at most.
+CELL, QUANTILES = 1024, 256
 
 
 def _threshold(fraction: float) -> int:
@@ -36,11 +36,13 @@ def sketch(text: Column, shingle: int = SHINGLE, fraction: float = FRACTION) ->
         whole = F.array(F.aggregate(hashes, F.lit(42).cast("long"), lambda a, h: F.xxhash64(a, h)))
         return F.when(F.size(hashes) >= shingle, grams).when(F.size(hashes) > 0, whole).otherwise(F.array().cast("array<long>"))
 
-    def below(hashes: Column) -> Column:
-        kept = F.filter(hashes, lambda h: h < _threshold(fraction))
-        return F.when(F.size(kept) > 0, F.sort_array(F.array_distinct(kept))).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(kept)
+    return _let(_let(words, of), lambda hashes: _below(hashes, fraction))
 
-    return _let(_let(words, of), below)
+
+def _below(hashes: Column, fraction: float) -> Column:
+    """The hashes below the fraction, else the least."""
+    kept = F.filter(hashes, lambda h: h < _threshold(fraction))
+    return F.when(F.size(kept) > 0, F.sort_array(F.array_distinct(kept))).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(kept)
 
 
 def _let(value: Column, body) -> Column:
@@ -48,9 +50,12 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def merged(sketches: Column) -> Column:
-    """An array of sketches -> the sketch of their union."""
-    return F.sort_array(F.array_distinct(F.flatten(sketches)))
+def merged(sketches: Column, fraction: float = FRACTION) -> Column:
+    """An array of sketches of one fraction -> the sketch of their texts' shingles together.
+
+    A least hash that a part has kept for want of others goes where another part has hashes below the fraction.
+    """
+    return _let(F.flatten(sketches), lambda hashes: _below(hashes, fraction))
 
 
 def resemblance(a: Column, b: Column) -> Column:
@@ -68,26 +73,57 @@ def text_of(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _following(buckets: DataFrame) -> DataFrame:
-    """bucket -> bucket, next: the next larger one, and the first after the last. Only one row of RANGES meets in one task."""
-    ranged = buckets.withColumn("range", F.floor(F.col("bucket") / RANGES))
-    own = Window.partitionBy("range").orderBy("bucket")
-    led = ranged.withColumns({"next": F.lead("bucket").over(own), "rank": F.row_number().over(own)})
-    firsts = led.where("rank = 1").select("range", F.col("bucket").alias("first"))
-    ranks = Window.partitionBy(F.lit(0)).orderBy("range")
-    after = firsts.select("range", F.coalesce(F.lead("first").over(ranks), F.first("first").over(ranks)).alias("after"))
-    return led.join(after, "range").select("bucket", F.coalesce("next", "after").alias("next"))
-
-
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs with next_<column>: the values of the next document by doc_id; after the last comes the first."""
-    bucketed = docs.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / RANGE), F.lit(_LAST // RANGES * RANGES)))
-    own = Window.partitionBy("bucket").orderBy(F.col("doc_id"), F.col("text"))
-    led = bucketed.withColumns({f"next_{c}": F.lead(F.struct(c)).over(own) for c in columns} | {"rank": F.row_number().over(own)})
-    firsts = bucketed.withColumn("rank", F.row_number().over(own)).where("rank = 1")
-    links = _following(bucketed.select("bucket").distinct()).withColumnsRenamed({"bucket": "prior", "next": "bucket"})
-    firsts = firsts.join(links, "bucket").select(F.col("prior").alias("bucket"), *(F.col(c).alias(f"first_{c}") for c in columns))
-    joined = led.join(firsts, "bucket")
+def _bounds(docs: DataFrame, own: int) -> tuple[list[int], int]:
+    """Ascending bounds of doc_id, QUANTILES at most, that cut the documents to about equal parts, and how many cells of `own` documents a part has."""
+    shares = [i / QUANTILES for i in range(1, QUANTILES)]
+    n, low, found = docs.agg(F.count("*"), F.min("doc_id"), F.percentile_approx("doc_id", shares, 10_000)).first()
+    return sorted({low, *(found or [])} - {None}), 1 + n // (QUANTILES * own)
+
+
+def _cells(docs: DataFrame, own: int) -> DataFrame:
+    """docs with part and cell, ascending with doc_id and, among equal ids, with tie; rows without an id have the last part.
+
+    Parts are quantiles of doc_id; a part is cut evenly between its bounds, and documents that share the id at its
+    lower bound, or have none, are cut evenly by a hash of the text, so that no cell grows with the table.
+    """
+    bounds, cells = _bounds(docs, own)
+    ends = F.array(*(F.lit(x).cast("long") for x in bounds)) if bounds else F.array().cast("array<long>")
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(ends, lambda x: x <= F.col("doc_id"))))
+    rows = docs.withColumns({"tie": F.xxhash64("text"), "part": part})
+    low, high = F.get(ends, F.col("part") - 1), F.get(ends, F.col("part"))
+    even = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
+    wide = F.coalesce((F.col("doc_id").cast("double") - low) / F.greatest(high.cast("double") - low, F.lit(1.0)), F.lit(0.0))
+    last = F.floor((F.col("doc_id") - low) / F.lit(own)).cast("long")  # beyond the last bound there is no other
+    some = F.lit(cells * QUANTILES)
+    tied = F.col("doc_id").isNull() | (F.col("doc_id") == low)
+    cell = F.when(tied, F.floor(even * some)).when(high.isNull(), some + last).otherwise(some + F.floor(wide * cells))
+    return rows.withColumn("cell", cell.cast("long"))
+
+
+def _following(cells: DataFrame) -> DataFrame:
+    """Distinct part, cell -> p_part, p_cell, part, cell: each and the one before it; before the first is the last.
+
+    The window over parts, which are QUANTILES and one at most, is the one that runs in a single task.
+    """
+    own = Window.partitionBy("part").orderBy("cell")
+    led = cells.withColumns({"next": F.lead("cell").over(own), "rank": F.row_number().over(own)})
+    firsts = led.where("rank = 1").select("part", F.col("cell").alias("first"))
+    after = firsts.agg(F.sort_array(F.collect_list(F.struct("part", "first"))).alias("all"))
+    after = after.select(F.posexplode("all").alias("i", "x"), "all").select(F.col("x.part").alias("a_part"), F.get("all", (F.col("i") + 1) % F.size("all")).alias("after"))
+    joined = led.join(F.broadcast(after), F.col("part") == F.col("a_part"))
+    inner = F.col("next").isNotNull()
+    return joined.select(F.col("part").alias("p_part"), F.col("cell").alias("p_cell"), F.when(inner, F.col("part")).otherwise(F.col("after.part")).alias("part"), F.coalesce("next", "after.first").alias("cell"))
+
+
+def with_next(docs: DataFrame, columns: list[str], own: int = CELL) -> DataFrame:
+    """doc_id, text and others -> with next_<column>: the values of the next document by doc_id; after the last comes the first."""
+    cells = _cells(docs, own)
+    order = Window.partitionBy("part", "cell").orderBy(F.col("doc_id"), F.col("tie"), F.col("text"))
+    led = cells.withColumns({f"next_{c}": F.lead(F.struct(c)).over(order) for c in columns})
+    firsts = cells.withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    firsts = firsts.join(_following(cells.select("part", "cell").distinct()), ["part", "cell"])
+    firsts = firsts.select(F.col("p_part").alias("part"), F.col("p_cell").alias("cell"), *(F.col(c).alias(f"first_{c}") for c in columns))
+    joined = led.join(firsts, ["part", "cell"])
     return joined.select(*docs.columns, *(F.when(F.col(f"next_{c}").isNull(), F.col(f"first_{c}")).otherwise(F.col(f"next_{c}.{c}")).alias(f"next_{c}") for c in columns))
 
 
