@@ -22,6 +22,8 @@ from .graph import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Most fingerprints that are compared with each other at once.
 TILE = 4096
+#: Parts that the fingerprints of one component are dealt to.
+PARTS = 32
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -157,8 +159,11 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id that links lead to."""
     own = staged(fingerprints(docs, shingle, seed), "fingerprints")
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = staged(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(least.select("fp"), radius))
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = least.join(roots.withColumnRenamed("node", "fp"), "fp").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int"))
+    lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    spread = lowest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))  # a component of many fingerprints is more than one task
+    classes = linked.join(spread, ["root", "part"]).select("fp", "component_id")
+    first = least.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return own.join(first, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
