@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -26,44 +23,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset (tests), a folder of its own."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset on one machine (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="inkwell-"))
+    return _own[0]
 
 
-def staged(df: DataFrame, name: str, wait: bool = False) -> DataFrame:
+_own: list[str] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _path(spark: SparkSession, path: str):
+    """Hadoop's file system and path."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage is cut, and lost executors cost nothing of it.
 
-    Shuffle files of what led to df are freed where the driver no longer refers to them; wait: before this returns, for
-    what is large beside the input.
+    The shuffle files of what led to df are removed with the write, and the folder when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    for _ in range(3 if wait else 1):  # the gateway, the collector and the cleaner each take a moment
-        release(spark)
-        time.sleep(0.5 * wait)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver's cleaner remove shuffle files that nothing refers to."""
-    gc.collect()
-    with contextlib.suppress(AttributeError):
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    fs, folder = _path(spark, path)
+    fs.deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
     """Remove the files of a staged table that is no longer needed."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _path(spark, folder)
+        fs.delete(path, True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -86,23 +90,27 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-#: Rows that a sample of n is drawn from: this many times n and some more. Fewer than n come of it with a chance below 1e-60.
-SURPLUS, MORE = 4, 200
+def _enough(n: int) -> float:
+    """Distinct rows that a sample of n is drawn from: fewer than n come of it with a chance below 1e-20, if they are counted to a tenth."""
+    return 1.3 * n + 10 * n**0.5 + 200
 
 
 def least(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """At most n rows of each group, the first by the first column of order, a 64-bit hash, then by the others; rank has their place.
 
-    Rows whose hash is above the share that SURPLUS * n + MORE rows have of their group go first, all but those of the
-    least hash, so that the one task that ranks a group gets a number of rows that does not grow with the input. Groups
-    are few: one row of each is broadcast.
+    Rows whose hash is above the share that _enough(n) distinct rows have of their group go first, and equal rows are
+    counted before any shuffle, so that the one task that ranks a group gets a number of rows that does not grow with
+    the input. Groups are few: one row of each is broadcast.
     """
     hashed = rows.withColumn("__h", order[0])
-    sizes = hashed.groupBy(group).agg(F.count("*").alias("__n"), F.min("__h").alias("__low"))
-    share = F.lit(float(SURPLUS * n + MORE)) / F.col("__n")
-    near = hashed.join(F.broadcast(sizes), group).where(((F.col("__h").cast("double") + 2.0**63) / 2.0**64 <= share) | (F.col("__h") == F.col("__low")))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("__h", *order[1:])))
-    return ranked.where(F.col("rank") <= n).drop("__h", "__n", "__low")
+    sizes = hashed.groupBy(group).agg(F.approx_count_distinct("__h", 0.02).alias("__n"))
+    near = hashed.join(F.broadcast(sizes), group).where((F.col("__h").cast("double") + 2.0**63) / 2.0**64 <= F.lit(_enough(n)) / F.col("__n"))
+    packed = near.groupBy(*rows.columns, "__h").agg(F.count("*").alias("__copies"))
+    own = Window.partitionBy(group).orderBy("__h", *order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(n) - F.coalesce(F.sum("__copies").over(own), F.lit(0))
+    few = packed.withColumn("__left", left).where("__left > 0")
+    taken = few.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.least("__copies", "__left"))))
+    return taken.withColumn("rank", (n - F.col("__left") + F.col("__i")).cast("int")).select(*rows.columns, "rank")
 
 
 def bucket(column: str, n: int):

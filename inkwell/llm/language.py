@@ -5,12 +5,14 @@ The n-grams of all models are one sorted array of hashes an order, with the disc
 it, and so are the contexts with their interpolation weights. A text gets the language of the lowest cross-entropy per
 character; it is rejected where that entropy is above what held-back training texts of the language have.
 
-The models are fitted on a sample of SAMPLE_DOCS texts and SAMPLE_CHARS characters of each language, chosen by a hash
-of the id and the text; this bounds the driver's work and the size of the models. Every text is scored whole.
+The models are fitted on a sample of SAMPLE_DOCS texts of each language, chosen by a hash of the text, of which a longer
+one gives SAMPLE_CHARS characters from its middle; this bounds the driver's work and the size of the models. Every text
+is scored whole.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; rows without a language are
-not learned from; where no language is learned every text is `und`; repeated rows count as often as they are drawn;
-an empty table gives an empty result.
+not learned from; where no language is learned every text is `und`; equal texts of a language are learned once, but fill the
+sample as often as they are there; of languages with one cross-entropy (ties) the first by code point is taken;
+other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import least, mix, slices
 
 ORDER, DISCOUNT = 5, 0.75
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 2_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 5_000
 #: A held-back text of a language has at most the largest entropy seen, times this.
 MARGIN = 1.35
 UND = "und"
@@ -160,15 +162,17 @@ class Models:
 
 
 def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Models:
-    """doc_id, text, lang of rows to learn from -> models. A fifth of the sample is held back for calibration."""
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    few = rows.select("doc_id", "lang", F.xxhash64("text").alias("t"), F.length("text").alias("n"))
-    few = least(few, "lang", [F.xxhash64("doc_id", "t"), F.col("doc_id"), F.col("t")], docs)
-    run = F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    few = few.withColumn("sum", run).where((F.col("sum") <= chars) | (F.col("rank") == 1)).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), "t").distinct()
-    chosen = rows.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("t")))
+    """text, lang of rows to learn from -> models. A fifth of the sample is held back for calibration.
+
+    The driver gets `docs` texts of each language at most, and of each `chars` characters, from its middle if it has more.
+    """
+    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("t"))
+    few = least(rows.select("lang", "t"), "lang", [F.xxhash64("t", F.lit(1)), F.col("t")], docs)
+    few = few.select(F.col("lang").alias("l"), F.col("t").alias("f")).distinct()
+    chosen = rows.join(F.broadcast(few), (F.col("lang") == F.col("l")) & (F.col("t") == F.col("f")))
+    middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2) + 1).cast("int"), F.lit(chars))
     texts: dict[str, list[str]] = {}
-    for r in sorted(chosen.select("lang", "doc_id", "text").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.text)):
+    for r in chosen.groupBy("lang", "t").agg(F.min(middle).alias("text")).orderBy("lang", "t").collect():
         if any(map(str.isalpha, r.text)):
             texts.setdefault(r.lang, []).append(r.text)
     learn = {x: [t for i, t in enumerate(ts) if i % 5 or len(ts) < 5] for x, ts in texts.items()}

@@ -3,13 +3,14 @@
 A word comes in twice: as an embedding of its hash, and as the mean of embeddings of its character n-grams of three and
 four bytes, with the highest log-odds of label 1 that one of them has among the training texts. Windows of
 WINDOW words overlap by half and cover the whole text; a text's score is that of its worst window, calibrated on the
-training texts. The network is fitted on SAMPLE texts of label 1 and CLEAN of label 0, chosen by a hash of the id, by turns finding each
-text's worst window and descending on it; word embeddings start with the smoothed log-odds of the classes, as one of
-their coordinates.
+training texts. The network is fitted on SAMPLE texts of label 1 and CLEAN of label 0, of CHARS characters at most, chosen by a hash of
+the id, by turns finding each text's worst window and descending on it; word embeddings start with the smoothed
+log-odds of the classes, as one of their coordinates.
 
 Defined cases: a null text, or one without a word, has the score of an empty window; null labels are not learned from;
-with one class or none the scores are the share of label 1 (one half without labels); rows that share a doc_id are scored
-each by its own text; an empty table gives an empty result.
+an id with both labels is learned with both; with one class or none the scores are the share of label 1 (one half without
+labels); rows that share a doc_id are scored each by its own text, and the least of their texts is learned; equal texts have equal scores, and windows
+that tie count alike; other columns may have any name but score, which is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from .common import least, mix, slices, texts_of
 WINDOW, STRIDE, HIDDEN, DIM, ATTEND = 32, 16, 8, 8, 8
 WORDS, GRAMS = 1 << 16, 1 << 16
 INPUT = 2 * DIM + 1
-SAMPLE, CLEAN, ROUNDS, BATCH, RATE, SEED = 1000, 2000, 6, 128, 0.01, 7
+SAMPLE, CLEAN, CHARS = 1000, 2000, 20_000
+ROUNDS, BATCH, RATE, SEED = 6, 128, 0.01, 7
 #: Texts that are added to either class for the log-odds.
 SMOOTH = 5
 #: Windows that are scored at once.
@@ -202,8 +204,8 @@ class Network:
             return
         b, r, state = Batch(texts), np.random.default_rng(seed), {}
         seen, grams = np.zeros((2, WORDS)), np.zeros((2, GRAMS))
-        pairs = np.unique(np.stack([np.repeat(b.doc, WINDOW), b.windows.ravel()], 1), axis=0)
-        pairs = pairs[pairs[:, 1] >= 0]
+        pairs = np.unique((b.doc[:, None] << 32 | b.windows)[b.windows >= 0])
+        pairs = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)
         for y in (0, 1):
             own = pairs[labels[pairs[:, 0]] == y]
             seen[y] = np.bincount(b.words[own[:, 1]], minlength=WORDS)
@@ -243,12 +245,17 @@ class Network:
         return _sigmoid(self.slope * logit.astype(np.float64) + self.shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int = CLEAN) -> Network:
-    """docs (doc_id, text), labels (doc_id, toxic) of rows to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int = CLEAN, chars: int = CHARS) -> Network:
+    """docs (doc_id, text), labels (doc_id, toxic) of rows to learn from.
+
+    The driver gets `sample` texts of label 1 and `clean` of label 0 at most: one for each labelled id, the least of those
+    that share it, and `chars` characters of each, from its middle if it has more.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").distinct()
     few = [least(known.where(F.col("toxic") == y), "toxic", [F.xxhash64("doc_id"), F.col("doc_id")], n).select("doc_id", "toxic") for y, n in ((0, clean), (1, sample))]
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few[0].unionByName(few[1])), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
+    met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2) + 1).cast("int"), F.lit(chars))
+    rows = met.groupBy("doc_id", "toxic").agg(F.min(middle).alias("text")).orderBy("doc_id", "toxic").collect()
     net = Network()
     net.train([r.text.encode("utf-8", "replace") for r in rows], np.array([r.toxic for r in rows], np.int64))
     return net
