@@ -126,6 +126,11 @@ class Encoder:
         self.low, self.high = ([np.array([int.from_bytes((p[8 * j : 8 * j + 8] + fill * 8)[:8], "big") for p in patterns], np.uint64) for j in range(blocks)] for fill in (b"\0", b"\xff"))
         self.alone = {p for p in patterns if len(p.decode()) == 1}
         self.pairs: dict[int, bool] = {}
+        self.runs: dict[int, np.ndarray] = {}
+        spaces = sorted(len(p) for p in patterns if not p.strip(b" "))
+        self.widest = spaces[-1] if spaces else 0
+        # whether a run longer than the widest piece of spaces is that piece, repeated, and the rest: tried on all rests
+        self.plain = self.widest > 0 and all(self.v.merge(b" " * n) == self._blocks(n) for n in range(self.widest + 1, 3 * self.widest + 1))
         self._forget()
 
     def _forget(self) -> None:
@@ -220,8 +225,20 @@ class Encoder:
         rest = unit[extra:]
         ids, _ = self._relax([rest]) if rest else (np.empty(0, np.int32), None)
         lone = len(ids) and ids[0] == self.v.ids.get(b" ")
-        head = self.v.merge(b" " * (extra + bool(lone)))
-        return np.r_[head, ids[bool(lone) :]]
+        return np.r_[self._spaces(extra + bool(lone)), ids[bool(lone) :]]
+
+    def _spaces(self, n: int) -> np.ndarray:
+        """Ids of n spaces. Leftmost merges among equals double all pieces at once, level by level, until the widest piece."""
+        if n not in self.runs:
+            if len(self.runs) > 10_000:
+                self.runs.clear()
+            self.runs[n] = np.array(self.v.merge(b" " * n) if n <= self.widest or not self.plain else self._blocks(n), np.int32)
+        return self.runs[n]
+
+    def _blocks(self, n: int) -> list[int]:
+        """As merge() does, where pieces of 1, 2, 4 and so on spaces to the widest exist and no others that halves do not make."""
+        whole, left = divmod(n, self.widest)
+        return [self.v.ids[b" " * self.widest]] * whole + self.v.merge(b" " * left)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and how many each has."""
