@@ -166,3 +166,49 @@ def test_crowded_passages(spark, monkeypatch):
     assert sorted(map(tuple, got)) == expect_words(rows, 50)
     got = suffix.dedup_digest(df).select("doc_id", "n_tokens", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == expect_bytes(rows, 50)
+
+
+def test_long_words_are_not_mixed_up(spark):
+    """Words of 2,048 letters that polynomial hashes modulo 2**64 cannot tell apart."""
+    x, y = ("".join("ab"[(i.bit_count() + odd) % 2] for i in range(2048)) for odd in (0, 1))
+    rows = [(d, " ".join([f"w{k}" for k in range(30)] + [w] + [f"v{k}" for k in range(29)])) for d, w in ((1, x), (2, y), (3, x))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.dedup_digest(df).collect()} == {1: 0, 2: 0, 3: 60}
+    got = suffix.dedup_digest(df).select("doc_id", "n_tokens", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == expect_bytes(rows, 50)
+
+
+def test_factors_are_copies_and_greedy(spark):
+    """Each factor is found where it is said to be; none is shorter than a window unless the one before it reached over its start."""
+    rows = list(dict(planted(seed=8)).items())
+    tokens = {d: words(t) for d, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in substring.dedup(df, 10).collect()}
+    assert sum(r.n_factors for r in found.values()) > 20
+    for d, r in found.items():
+        at = 0
+        for f in r.factors:
+            assert f.source < d and tokens[d][f.start : f.end] == tokens[f.source][f.source_start : f.source_start + f.end - f.start]
+            assert f.start >= at and (f.end - f.start >= 10 or f.start == at > 0)
+            at = f.end
+        assert r.n_removed == sum(f.end - f.start for f in r.factors) and r.n_factors == len(r.factors)
+
+
+def test_any_column_names(spark):
+    names = ["__doc", "__salt", "__done", "__starts", "row", "salt", "done", "a.b"]
+    text = " ".join(f"w{i}" for i in range(70))
+    df = spark.createDataFrame([(i, text, *range(8)) for i in (1, 2)], "doc_id int, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for f in (substring.dedup, suffix.dedup):
+        out = f(df)
+        assert out.columns[:10] == df.columns and out.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+        assert {r.doc_id: r.n_removed > 0 for r in out.collect()} == {1: False, 2: True}
+
+
+def test_very_long_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, base), (2, base[1000:]), (3, "z" * 400_000), (4, "y" + "z" * 399_999)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_removed) for r in substring.dedup_digest(df).collect()}
+    assert got[1] == (60_000, 0) and got[2][0] - got[2][1] <= 1 and got[3] == (1, 0)
+    got = {r.doc_id: (r.n_tokens, r.n_removed, r.n_spans) for r in suffix.dedup_digest(df).collect()}
+    assert got[2] == (len(base) - 1000, len(base) - 1000, 1) and got[4] == (400_000, 399_999, 1)

@@ -51,6 +51,104 @@ def test_language_edges(spark):
     assert language.identify(frame(spark, EDGE).limit(0), models).count() == 0
 
 
+def brute_entropy(texts, text, floor):
+    """Nats a character by interpolated Kneser-Ney, by dictionaries; floor: the share of a character below the lowest order."""
+    from collections import Counter
+
+    order, d = language.ORDER, language.DISCOUNT
+    normed = [language.normal(t) for t in texts]
+    ends = [t[i - order : i] for t in normed for i in range(order, len(t) + 1)]
+    top = Counter(ends)
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return floor
+        own = {g: n for g, n in levels[k].items() if g[:-1] == gram[:-1]}
+        low = p(gram[1:])
+        if not own:
+            return low
+        total = sum(own.values())
+        return max(own.get(gram, 0) - d, 0) / total + min(1, d * len(own) / total) * low
+
+    x = language.normal(text)
+    grams = [x[i - order : i] for i in range(order, len(x) + 1)]
+    return -sum(np.log(p(g)) for g in grams) / len(grams)
+
+
+def test_entropies_match_brute_force():
+    texts = {"a": ["abracadabra abba cab", "a cab and a car"], "b": ["zebra zoo azure", "oz"]}
+    m = language.Models(texts)
+    for text in ("abracad zoo", "cab", "qqq a", "Zebra, 12 cars!"):
+        got = m.entropies([language.normal(text)])[0]
+        assert got == pytest.approx([brute_entropy(texts[x], text, m.floor) for x in m.languages], rel=1e-4)
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    r = np.random.default_rng(0)
+    words = {"en": ["the", "cat", "dog", "house", "and", "runs"], "de": ["der", "hund", "katze", "haus", "und", "rennt"]}
+    rows = [(i, " ".join(r.choice(words[x], 40)), x) for i in range(60) for x in words]
+    models = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    some = [(0, "the cat and the dog runs"), (1, "der hund und katze rennt haus"), (2, "xqz wvk jjp zzqx kkwv " * 5), (3, "日本語 テキスト 你好")]
+    got = {x.doc_id: (x.lang_pred, x.accepted) for x in language.identify(frame(spark, some, "accepted int"), models).collect()}
+    assert got[0] == ("en", True) and got[1] == ("de", True) and not got[2][1] and not got[3][1]
+
+
+def test_fits_collect_no_more_than_their_sample(spark, monkeypatch):
+    """5,000 equal rows, and 9,000 texts of one labelled id."""
+    seen, trained = [], []
+    monkeypatch.setattr(language.Models, "_fit", staticmethod(lambda texts, plain=language.Models._fit: seen.append(texts) or plain(texts)))
+    rows = [(7, "the same text " * 3, "en")] * 5000 + [(i, f"text {i} " * 5000, "en") for i in range(500)]
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen[0]) <= 400 and max(map(len, seen[0])) <= language.SAMPLE_CHARS
+    monkeypatch.setattr(toxicity.Network, "train", lambda self, texts, labels: trained.append((texts, labels)))
+    docs = spark.createDataFrame([(1, f"word {i}") for i in range(9000)] + [(i, "clean " * 9000) for i in range(2, 50)], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, int(i == 1)) for i in range(1, 50)], "doc_id long, toxic int"))
+    assert len(trained[0][0]) == 49 and max(map(len, trained[0][0])) == toxicity.CHARS and trained[0][1].sum() == 1
+
+
+def brute_logit(n, b, window):
+    """The forward pass of one window, by loops."""
+    p, h = n.p, toxicity.HIDDEN
+    x = n.inputs(b)
+    used = [int(w) for w in window if w >= 0]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    states = {}
+    for d, order in (("f", used), ("b", used[::-1])):
+        s, out = np.zeros(h), []
+        for w in order:
+            g = x[w] @ p[f"x{d}"] + p[f"c{d}"]
+            zr = sig(g[: 2 * h] + s @ p[f"u{d}"])
+            c = np.tanh(g[2 * h :] + (zr[h:] * s) @ p[f"n{d}"])
+            s = (1 - zr[:h]) * c + zr[:h] * s
+            out.append(s)
+        states[d] = out if d == "f" else out[::-1]
+    both = [np.r_[f, g] for f, g in zip(states["f"], states["b"])]
+    e = np.array([np.tanh(v @ p["att"]) @ p["pick"] for v in both])
+    e = np.exp(e - e.max())
+    return float(sum(a * v for a, v in zip(e / e.sum(), both)) @ p["out"] + p["bias"][0])
+
+
+def test_forward_matches_loops():
+    n = toxicity.Network()
+    b = toxicity.Batch([b"some words here", b"many more words of a text " * 12])
+    got = n.forward(n.inputs(b), b.windows)
+    assert got == pytest.approx([brute_logit(n, b, w) for w in b.windows], abs=1e-5)
+
+
+def test_toxicity_query(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = catalogue.op7_toxicity(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    assert {r.doc_id for r in got if r.held_out} == {d for d in docs if zlib.crc32(str(d).encode()) % 5 == 0}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    by_text = {}
+    assert all(by_text.setdefault(docs[r.doc_id].text, r.score) == pytest.approx(r.score, abs=1e-6) for r in got)
+
+
 def test_gradients():
     n, r = toxicity.Network(), np.random.default_rng(0)
     n.p = {k: v.astype(np.float64) for k, v in n.p.items()}
@@ -128,6 +226,25 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(frame(spark, rows).limit(0), v).count() == 0
 
 
+def test_long_runs_of_spaces_are_quick():
+    import time
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    e = pieces.Encoder(pieces.Vocabulary())
+    began = time.process_time()
+    for text in (" " * 100_000, "a" + " " * 100_001 + "b", " " * 33):
+        assert e.encode([text.encode()])[0].tolist() == library.encode(text)
+    assert time.process_time() - began < 3
+
+
+def test_repeated_and_long_rows_of_pieces(spark):
+    long = "Some words, and a number 12345. " * 30_000
+    v = pieces.Vocabulary()
+    got = pieces.encode(frame(spark, [(1, long), (2, long), (2, "x"), (2, "x")], "n_pieces int"), v, check=True).collect()
+    assert [r.round_trip for r in got] == [True] * 4 and got[0].ids == got[1].ids and got[2].ids == got[3].ids
+    assert got[0].ids == sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()).encode(long)
+
+
 def test_pieces_query(spark):
     got = catalogue.op1_sentencepiece(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 200 and all(r.round_trip and len(r.ids) == r.n_pieces for r in got)
