@@ -149,9 +149,10 @@ def word_tokens(text: bytes) -> np.ndarray:
 Tokens = Callable[[bytes], np.ndarray]
 
 
-def _keys(docs: DataFrame) -> DataFrame:
+def keys(docs: DataFrame) -> DataFrame:
     """doc_id, salt, text of the rows that can have a repeat; the salt tells rows that share a doc_id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("salt", _salt())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.where("doc_id is not null and text is not null").withColumn("salt", _salt())
 
 
 def _salt():
@@ -183,10 +184,27 @@ def _lone(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(at.astype(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_ROWS = "doc_id long, at long, src long, src_at long"
+def _table(names: list[str], columns: list[np.ndarray], late: np.ndarray, sources: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of a round; sources: src and src_at of the late ones, or nothing."""
+    columns = columns + [np.where(late, x, 0) for x in sources]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [*names, "doc_id", "at", *("src", "src_at")[: len(sources)]])
 
 
-def _round_one(keyed: DataFrame, tokens: Tokens, length: int, gram: int) -> DataFrame:
+def _rows(names: str, sources: bool) -> str:
+    return f"{names}, doc_id long, at long" + (", src long, src_at long" if sources else "")
+
+
+def _sourced(rows: DataFrame, sources: bool, *same: str) -> DataFrame:
+    """rows with first (the least document of those with the same names) and src and src_at (0 without sources)."""
+    own, names = F.col("at") < 0, Window.partitionBy(*same)
+    if not sources:
+        return rows.withColumn("first", F.min("doc_id").over(names)).withColumns({"src": F.lit(0).cast("long"), "src_at": F.lit(0).cast("long")})
+    least = rows.withColumn("least", F.min(F.struct("doc_id", "at")).over(names)).withColumn("first", F.col("least.doc_id"))
+    given = lambda mine, other: F.when(own, F.col(mine)).otherwise(F.col(f"least.{other}"))
+    return least.withColumns({"src": given("src", "doc_id"), "src_at": given("src_at", "at")}).drop("least")
+
+
+def _round_one(keyed: DataFrame, tokens: Tokens, length: int, gram: int, sources: bool) -> DataFrame:
     """key, ctx, doc_id, at, src, src_at: the anchors. What an earlier document of the same slice has with its
     surroundings is a repeat already, of the anchor src_at of the document src, and has a negative at; what is crowded
     is open already."""
@@ -218,26 +236,22 @@ def _round_one(keyed: DataFrame, tokens: Tokens, length: int, gram: int) -> Data
             own[crowd] = True
             key = np.where(own, _lone(at, doc), key)
             at[crowd] |= OPEN
-            columns = [key.view(np.int64), ctx.view(np.int64), doc, np.where(late, -1 - at, at), np.where(late, src, 0), np.where(late, src_at, 0)]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "ctx", "doc_id", "at", "src", "src_at"])
+            yield _table(["key", "ctx"], [key.view(np.int64), ctx.view(np.int64), doc, np.where(late, -1 - at, at)], late, [src, src_at] if sources else [])
 
-    return keyed.mapInArrow(run, f"key long, ctx long, {_ROWS}")
+    return keyed.mapInArrow(run, _rows("key long, ctx long", sources))
 
 
 def _place() -> Column:
     return F.struct("at", "src", "src_at")
 
 
-def _round_two(found: DataFrame) -> DataFrame:
+def _round_two(found: DataFrame, sources: bool) -> DataFrame:
     """doc_id, salt, done (anchors whose surroundings are repeats, and of what), open (anchors to be judged window by window)."""
-    same, all_ = Window.partitionBy("key", "ctx"), Window.partitionBy("key")
-    judged = found.withColumn("first", F.min(F.struct("doc_id", "at")).over(same))
+    all_ = Window.partitionBy("key")
+    judged = _sourced(found, sources, "key", "ctx")
     judged = judged.withColumns({"low": F.min("doc_id").over(all_), "high": F.max("doc_id").over(all_), "one": F.min("ctx").over(all_) == F.max("ctx").over(all_)})
     sure = (F.col("at") < 0) | (F.col("at") >= OPEN)
-    late = (F.col("at") < 0) | (F.col("doc_id") > F.col("first.doc_id"))
-    judged = judged.where(sure | (F.col("low") < F.col("high"))).withColumn("late", late)
-    own = F.col("at") < 0
-    judged = judged.withColumns({"src": F.when(own, F.col("src")).otherwise(F.col("first.doc_id")), "src_at": F.when(own, F.col("src_at")).otherwise(F.col("first.at"))})
+    judged = judged.where(sure | (F.col("low") < F.col("high"))).withColumn("late", (F.col("at") < 0) | (F.col("doc_id") > F.col("first")))
     mask = F.lit((1 << SIDE) - 1)
     sides = {"l": F.shiftright("ctx", SIDE).bitwiseAND(mask), "r": F.col("ctx").bitwiseAND(mask)}
     judged = judged.where(sure | F.col("late") | ~F.col("one")).withColumns(sides)
@@ -252,12 +266,13 @@ def _round_two(found: DataFrame) -> DataFrame:
     low = F.lit((1 << AT_BITS) - 1)
     judged = judged.select("doc_id", plain.alias("whole"), "late", near.alias("near"), "src", F.col("src_at").bitwiseAND(low).alias("src_at"))
     judged = judged.withColumn("at", F.col("whole").bitwiseAND(low))
+    judged = judged if sources else judged.withColumn("src_at", F.col("at"))
     return judged.groupBy("doc_id", F.shiftright("whole", AT_BITS).alias("salt")).agg(
         F.collect_list(F.when(F.col("late"), _place())).alias("done"), F.collect_list(F.when(~F.col("late"), 4 * F.col("at") + F.col("near"))).alias("open")
     )
 
 
-def _round_three(keyed: DataFrame, two: DataFrame, tokens: Tokens, length: int, gram: int) -> DataFrame:
+def _round_three(keyed: DataFrame, two: DataFrame, tokens: Tokens, length: int, gram: int, sources: bool) -> DataFrame:
     """doc_id, salt, starts: the windows over open anchors that an earlier document has too, and where it has them."""
     half = length // 2
 
@@ -275,16 +290,15 @@ def _round_three(keyed: DataFrame, two: DataFrame, tokens: Tokens, length: int,
             owner = _owners(doc, start, b, a)
             late, src, src_at = doc > doc[owner], doc[owner], start[owner]
             a = np.where(late, _lone(start, doc), a)
-            columns = [a.view(np.int64), b.view(np.int64), doc, np.where(late, -1 - start, start), np.where(late, src, 0), np.where(late, src_at, 0)]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "doc_id", "at", "src", "src_at"])
+            yield _table(["a", "b"], [a.view(np.int64), b.view(np.int64), doc, np.where(late, -1 - start, start)], late, [src, src_at] if sources else [])
 
     open_ = two.where(F.size("open") > 0).select("doc_id", "salt", "open")
-    windows = keyed.join(open_, ["doc_id", "salt"]).mapInArrow(run, f"a long, b long, {_ROWS}")
+    windows = keyed.join(open_, ["doc_id", "salt"]).mapInArrow(run, _rows("a long, b long", sources))
     own, low = F.col("at") < 0, F.lit((1 << AT_BITS) - 1)
-    judged = windows.withColumn("first", F.min(F.struct("doc_id", "at")).over(Window.partitionBy("a", "b"))).where(own | (F.col("doc_id") > F.col("first.doc_id")))
-    src, src_at = F.when(own, F.col("src")).otherwise(F.col("first.doc_id")), F.when(own, F.col("src_at")).otherwise(F.col("first.at"))
-    judged = judged.select("doc_id", F.when(own, -1 - F.col("at")).otherwise(F.col("at")).alias("whole"), src.alias("src"), src_at.bitwiseAND(low).alias("src_at"))
+    judged = _sourced(windows, sources, "a", "b").where(own | (F.col("doc_id") > F.col("first")))
+    judged = judged.select("doc_id", F.when(own, -1 - F.col("at")).otherwise(F.col("at")).alias("whole"), "src", F.col("src_at").bitwiseAND(low).alias("src_at"))
     judged = judged.withColumn("at", F.col("whole").bitwiseAND(low))
+    judged = judged if sources else judged.withColumn("src_at", F.col("at"))
     return judged.groupBy("doc_id", F.shiftright("whole", AT_BITS).alias("salt")).agg(F.collect_list(_place()).alias("starts"))
 
 
@@ -344,11 +358,11 @@ def removed_runs(factors: Factors) -> np.ndarray:
     return np.stack([edge[new, 0], edge[np.r_[np.flatnonzero(new)[1:] - 1, len(edge) - 1], 1]], 1)
 
 
-def repeats(docs: DataFrame, tokens: Tokens, length: int, gram: int) -> DataFrame:
-    """doc_id, salt, done, starts for the documents that repeat something."""
-    keyed = _keys(docs)
-    two = staged(_round_two(_round_one(keyed, tokens, length, gram)), "anchors")
-    three = staged(_round_three(keyed, two, tokens, length, gram), "windows")
+def repeats(docs: DataFrame, tokens: Tokens, length: int, gram: int, sources: bool = True) -> DataFrame:
+    """doc_id, salt, done, starts for the documents that repeat something. Without sources all references count as one."""
+    keyed = keys(docs)
+    two = staged(_round_two(_round_one(keyed, tokens, length, gram, sources), sources), "anchors")
+    three = staged(_round_three(keyed, two, tokens, length, gram, sources), "windows")
     return two.select("doc_id", "salt", "done").join(three, ["doc_id", "salt"], "full").where("size(done) > 0 or size(starts) > 0")
 
 

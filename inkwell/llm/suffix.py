@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from . import spans
+from . import doubling, spans
 
 LENGTH, GRAM = 50, 16
 
@@ -23,17 +23,17 @@ def _kept_bytes(text: bytes, runs: np.ndarray) -> bytes:
     return spans.cut_bytes(text, runs)[1]
 
 
-def _apply(docs: DataFrame, length: int, digest) -> DataFrame:
+def _apply(docs: DataFrame, length: int, digest, doubled: bool = False) -> DataFrame:
     gram = max(1, length * GRAM // LENGTH)
-    found = spans.repeats(docs, spans.byte_tokens, length, gram)
+    found = doubling.repeats(docs, length) if doubled else spans.repeats(docs, spans.byte_tokens, length, gram, sources=False)
     return spans.apply(docs, found, len, spans.cut_bytes, digest, length, gram)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with n_tokens (bytes), n_removed, n_spans, spans and kept_text (bytes that are no UTF-8 become U+FFFD)."""
+    """docs with n_tokens (bytes), n_removed, n_spans, n_factors, spans, factors and kept_text (bytes that are no UTF-8 become U+FFFD)."""
     return _apply(docs, length, None)
 
 
-def dedup_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with n_tokens, n_removed, n_spans and kept_sha256, of the kept bytes."""
-    return _apply(docs, length, _kept_bytes)
+def dedup_digest(docs: DataFrame, length: int = LENGTH, doubled: bool = False) -> DataFrame:
+    """docs with n_tokens, n_removed, n_spans, n_factors and kept_sha256, of the kept bytes; doubled: by prefix doubling."""
+    return _apply(docs, length, _kept_bytes, doubled)

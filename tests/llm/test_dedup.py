@@ -87,6 +87,15 @@ def test_suffix_matches_brute_force(spark, length):
     assert sorted(map(tuple, got)) == expect_bytes(rows, length)
 
 
+@pytest.mark.parametrize("length", [7, 50])
+def test_doubling_matches_brute_force(spark, length):
+    rows = planted(seed=4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix.dedup_digest(df, length, doubled=True).select("doc_id", "n_tokens", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == expect_bytes(rows, length)
+    assert suffix.dedup_digest(df.limit(0), length, doubled=True).count() == 0
+
+
 def test_queries_match_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = catalogue.op2_substring_dedup(spark, SMALL).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
