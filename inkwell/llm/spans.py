@@ -58,13 +58,19 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Names:
-    """Names of all runs of a token sequence, by doubling: the name of 2**k tokens joins the names of its halves."""
+    """Names of all runs of a token sequence, by doubling: the name of 2**k tokens joins the names of its halves.
+
+    Tokens of one byte are put side by side while they fit into a name.
+    """
 
     def __init__(self, tokens: np.ndarray, most: int):
-        self.n, self.levels = len(tokens), [tokens]
+        self.n, self.levels = len(tokens), [tokens.astype(np.uint64)]
         while 2 << (len(self.levels) - 1) <= min(most, self.n):
             last, half = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(_join(last[:-half], last[half:]))
+            if tokens.dtype == np.uint8 and half < 8:
+                self.levels.append(last[:-half] << np.uint64(8 * half) | last[half:])
+            else:
+                self.levels.append(_join(last[:-half], last[half:]))
 
     def of(self, start: np.ndarray, size: int) -> np.ndarray:
         """Names of the runs of `size` tokens that begin at start: two overlapping runs of a power of two, joined."""
@@ -121,11 +127,8 @@ def windows_of(names: Names, given: np.ndarray, length: int, gram: int) -> np.nd
     return np.unique(start[least[start] == g[own]])
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-
-
 def byte_tokens(text: bytes) -> np.ndarray:
-    return _BYTE[np.frombuffer(text, np.uint8)]
+    return np.frombuffer(text, np.uint8)
 
 
 _GAP = np.zeros(256, bool)
