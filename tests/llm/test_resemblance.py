@@ -1,5 +1,7 @@
 """The pipeline's near-duplicates against brute force over five-word shingles."""
 
+import random
+
 import corpus_pipeline
 from inkwell.llm import resemblance, simhash
 from test_dedup import words
@@ -33,3 +35,36 @@ def test_pairs_of_similarity_are_dropped(spark):
     assert not met
     before = {r.doc_id for r in simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").collect()}
     assert left < before and all(any(near(sets[a], sets[d]) for a in sets if a < d) for d in before - left)
+
+
+def test_rows_are_judged_by_their_texts(spark):
+    """Different texts under one doc_id, equal texts under several, rows without an id, and any column names."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(80))
+    edited = text("a").replace("aw40", "other")
+    rows = [(1, text("b")), (1, text("c")), (2, text("a")), (3, edited), (None, text("a")), (None, text("d")), (None, text("d")), (4, None), (5, ""), (2, text("a"))]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, row int, t int").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, df, MEDIUM)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, text("b")), (1, text("c")), (2, text("a")), (None, text("d")), (4, None)], key=repr)
+
+
+def test_crowded_buckets(spark):
+    """Many texts near one another, and many that only resemble them, over several batches."""
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        out = list(base)
+        for at in r.sample(range(300), 3 if i % 2 else 25):
+            out[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(out)))
+    sets = {d: grams(t) for d, t in rows}
+    links = {tuple(sorted(x)) for x in resemblance.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(near(sets[a], sets[b]) for a, b in links) and len(links) <= 400 * 2 * resemblance.TRIES
+    label = {d: d for d in sets}
+    for _ in range(20):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len({label[d] for d in sets if d % 2}) == 1
+    left = [d for d in sets if label[d] == d]
+    assert not [(a, b) for i, a in enumerate(left) for b in left[i + 1 :] if near(sets[a], sets[b])]
