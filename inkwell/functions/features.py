@@ -1,11 +1,16 @@
 """Style features of a document: profile S of 126 and profile L of 146, as doubles in columns.
 
-Every feature is a ratio of integers or of sums of them. A text without words has null features. One pass explodes the
-words and counts them by document and word; types, hapaxes and all listed words come from these counts.
+Every feature is a ratio of integers or of sums of them. A text without words has null features. Types, hapaxes and all
+listed words are counted text by text in Arrow batches, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +50,18 @@ PROFILES = {
 }
 
 
+def _counts(listed: Sequence[str]):
+    """Text -> types, once (words that occur once) and n, how often each listed word occurs, in lower case."""
+
+    @F.pandas_udf("types int, once int, n array<int>")
+    def counts(text: pd.Series) -> pd.DataFrame:
+        found = [Counter((x or "").lower().split()) for x in text]
+        once = [sum(n == 1 for n in c.values()) for c in found]
+        return pd.DataFrame({"types": list(map(len, found)), "once": once, "n": [np.array([c[w] for w in listed], np.int32) for c in found]})
+
+    return counts
+
+
 def _rate(n: Column) -> Column:
     return F.try_divide(n, F.col("wc"))
 
@@ -60,13 +77,13 @@ def _measures(docs: DataFrame, key: str, text: str) -> DataFrame:
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     squares = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x * x)
     marks = {f"n_{k}": T.occurrences(t, v) if k == "ellipsis" else sum((T.occurrences(t, c) for c in v[1:]), T.occurrences(t, v[0])) for k, v in PUNCTUATION.items()}
-    rows = docs.select(F.col(key), T.words(t).alias("w"), size(T.sentences(t)).alias("sl"), size(T.paragraphs(t)).alias("pl"), F.regexp_count(F.lower(t), F.lit(CONTRACTION)).alias("n_contraction"), *(v.alias(k) for k, v in marks.items()))
+    rows = docs.select(F.col(key), t.alias("t"), T.words(t).alias("w"), size(T.sentences(t)).alias("sl"), size(T.paragraphs(t)).alias("pl"), F.regexp_count(F.lower(t), F.lit(CONTRACTION)).alias("n_contraction"), *(v.alias(k) for k, v in marks.items()))
     rows = rows.withColumns({"wl": F.transform("w", lambda x: F.length(x).cast("long")), "wc": F.size("w").cast("long")})
     upper = lambda x: (x == F.upper(x)) & (x != F.lower(x))
     first = lambda x: F.substring(x, 1, 1)
     count = lambda c, f: F.size(F.filter(c, f)).cast("long")
     return rows.select(
-        key, "w", "wc", "n_contraction", *marks,
+        key, "t", "wc", "n_contraction", *marks,
         F.size("sl").cast("long").alias("sn"), total("sl").alias("ss"), squares("sl").alias("sq"), F.array_max("sl").alias("s_max"), F.array_min("sl").alias("s_min"),
         total("wl").alias("ws"), squares("wl").alias("wq"), count("wl", lambda x: x > 6).alias("w_long"), count("wl", lambda x: x <= 3).alias("w_short"),
         F.size("pl").cast("long").alias("pn"), total("pl").alias("ps"),
@@ -78,12 +95,10 @@ def features(docs: DataFrame, profile: str = "s", key: str = "doc_id", text: str
     """key and the profile's features, sorted by name. Keys are unique."""
     lists = PROFILES[profile]
     wanted = sorted({w for ws in lists.values() for w in ws})
-    base = _measures(docs, key, text)
-    counts = base.select(key, F.explode(F.transform("w", lambda x: F.lower(x))).alias("word")).groupBy(key, "word").count()
-    listed = F.when(F.col("word").isin(wanted), F.struct("word", F.col("count")))
-    by_doc = counts.groupBy(key).agg(F.count("*").alias("types"), F.count_if(F.col("count") == 1).alias("once"), F.map_from_entries(F.collect_list(listed)).alias("freq"))
-    rows = base.drop("w").join(by_doc, key, "left")
-    n = lambda w: F.coalesce(F.try_element_at("freq", F.lit(w)), F.lit(0))
+    base = _measures(docs, key, text).withColumn("c", _counts(wanted)("t"))
+    rows = base.select(*(c for c in base.columns if c not in ("t", "c")), "c.types", "c.once", F.col("c.n").alias("freq"))
+    at = {w: i for i, w in enumerate(wanted)}
+    n = lambda w: F.get("freq", F.lit(at[w]))
     some = lambda ws: _rate(sum((n(w) for w in ws[1:]), n(ws[0])))
     out = {f"fw_{w}": _rate(n(w)) for w in lists["words"]} | {k: some(ws) for k, ws in lists.items() if k != "words"}
     long = profile == "l"

@@ -13,6 +13,11 @@ TOKEN = rf"(?U)[^{SPACE}]+"
 WORD_CHAR = r"\w"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 

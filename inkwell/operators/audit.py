@@ -11,6 +11,8 @@ from ..functions import text as T
 
 # Words that don't count as vocabulary, and artifacts.
 STOP_WORDS = "the a an and or but in on at to for of is it that this with from by as be are was were have has had do does did not no can will would could should may might shall".split()
+#: Values of a range that is summed up in one task.
+RANGE = 1024
 ARTIFACTS = ("[", "-----", "wrote:", "Quote from:", ">", "http", "Re:", "@")
 
 
@@ -47,11 +49,17 @@ def source_parity(docs: DataFrame) -> DataFrame:
 
 
 def ks(docs: DataFrame, value: Column) -> DataFrame:
-    """d: the two samples' largest distance; p: Kolmogorov's asymptotic series. Counts by value first: the window runs over distinct values."""
+    """d: the two samples' largest distance; p: Kolmogorov's asymptotic series. Counts go by value first, then by ranges of values."""
     by = docs.select(value.alias("x"), "label").groupBy("x").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    run = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    row = by.select(F.sum("p").over(run).alias("p"), F.sum("n").over(run).alias("n")).agg(F.max("p").alias("ps"), F.max("n").alias("ns"), F.collect_set(F.struct("p", "n")).alias("steps"))
-    row = row.select("ps", "ns", F.array_max(F.transform("steps", lambda s: F.abs(s["p"] / F.col("ps") - s["n"] / F.col("ns")))).alias("d"))
+    by = by.withColumn("range", F.floor(F.col("x") / RANGE))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    ranges = by.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
+    before, all_ = upto(Window.orderBy("range")), Window.partitionBy()
+    ranges = ranges.select("range", *((F.sum(c).over(before) - F.col(c)).alias(f"b{c}") for c in ("rp", "rn")), F.sum("rp").over(all_).alias("ps"), F.sum("rn").over(all_).alias("ns"))
+    own = upto(Window.partitionBy("range").orderBy("x"))
+    steps = by.join(F.broadcast(ranges), "range")
+    steps = steps.withColumns({"p": F.col("brp") + F.sum("p").over(own), "n": F.col("brn") + F.sum("n").over(own)})
+    row = steps.agg(F.max("ps").alias("ps"), F.max("ns").alias("ns"), F.max(F.abs(F.col("p") / F.col("ps") - F.col("n") / F.col("ns"))).alias("d"))
     root = F.sqrt(F.col("ps") * F.col("ns") / (F.col("ps") + F.col("ns")))
     lam = (root + 0.12 + 0.11 / root) * F.col("d")
     series = reduce(lambda a, j: a + (2 if j % 2 else -2) * F.exp(-2 * j * j * lam * lam), range(1, 101), F.lit(0.0))

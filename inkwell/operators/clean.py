@@ -45,28 +45,28 @@ def _first(flags: Column) -> Column:
 
 def archive_wrapper(t: Column) -> Column:
     """Head up to the line of the time, or two lines from Date:, and trailing navigation go."""
-    s = F.transform(T.lines(t), lambda x: T.strip(x))
-    utc = _first(F.transform(s, lambda x: x.contains("UTC") & (F.length(x) < 60)))
-    date = _first(F.transform(s, lambda x: x.startswith("Date:")))
-    start = F.when(utc >= 0, utc + 1).when(date >= 0, date + 2).otherwise(0)
-    tail = _first(F.transform(F.reverse(s), lambda x: ~x.isin(*CHROME, "")))
-    n = F.size(s)
-    end = F.when(tail < 0, F.lit(0)).otherwise(n - tail)
-    end = F.least(n, F.greatest(end, start + 1))
-    return F.array_join(F.slice(T.lines(t), start + 1, F.greatest(end - start, F.lit(0))), "\n")
 
+    def cut(lines: Column, s: Column) -> Column:
+        utc = _first(F.transform(s, lambda x: x.contains("UTC") & (F.length(x) < 60)))
+        date = _first(F.transform(s, lambda x: x.startswith("Date:")))
+        start = F.when(utc >= 0, utc + 1).when(date >= 0, date + 2).otherwise(0)
+        tail = _first(F.transform(F.reverse(s), lambda x: ~x.isin(*CHROME, "")))
+        n = F.size(s)
+        end = F.when(tail < 0, F.lit(0)).otherwise(n - tail)
+        end = F.least(n, F.greatest(end, start + 1))
+        return F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n")
+
+    return T.let(T.lines(t), lambda lines: T.let(F.transform(lines, T.strip), lambda s: cut(lines, s)))
 
-def quote_blocks(t: Column) -> Column:
-    """From a line that starts a quote up to and with the next blank line."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"))
 
-    def merge(acc: Column, line: Column) -> Column:
-        s = T.strip(line)
-        opens = s.startswith("Quote from:")
-        keep = ~opens & ~acc["inside"]
-        return F.struct(F.when(keep, F.concat(acc["out"], F.array(line))).otherwise(acc["out"]).alias("out"), (opens | (acc["inside"] & (s != ""))).alias("inside"))
+#: White space other than a line end.
+_BLANK = rf"[{T.SPACE}&&[^\n]]*+"
+_QUOTE = rf"(?U)\n{_BLANK}Quote from:[^\n]*+(?:\n(?!{_BLANK}(?:\n|\z))[^\n]*+)*+(?:\n{_BLANK}(?=\n|\z))?"
 
-    return F.aggregate(T.lines(t), start, merge, lambda acc: F.array_join(acc["out"], "\n"))
+
+def quote_blocks(t: Column) -> Column:
+    """From a line that starts a quote up to and with the next blank line; possessive, so a long block is one pass."""
+    return F.substring(F.regexp_replace(F.concat(F.lit("\n"), t), _QUOTE, ""), 2, 2**31 - 1)
 
 
 def quoted_lines(on: str = ".{10,80}", who: str = ".{1,30}", quote: bool = True, quote_from: bool = False) -> Step:
@@ -88,8 +88,11 @@ def signature(t: Column) -> Column:
 
 def late_rule(t: Column) -> Column:
     """From the first line of dashes on, if it begins past 70 % of the text."""
-    at = F.regexp_instr(t, F.lit(r"\n---+\s*\n"))
-    return F.when((at > 0) & (at - 1 > F.length(t) * 0.7), F.substring(t, F.lit(1), at - 1)).otherwise(t)
+
+    def cut(t: Column) -> Column:
+        return T.let(F.regexp_instr(t, F.lit(r"\n---+\s*\n")), lambda at: F.when((at > 0) & (at - 1 > F.length(t) * 0.7), F.substring(t, F.lit(1), at - 1)).otherwise(t))
+
+    return T.let(t, cut)
 
 
 def urls(t: Column) -> Column:
@@ -145,9 +148,12 @@ def header_prefix(sites: Sequence[str] = (), authors: Sequence[str] = ()) -> Ste
         tests = [s == "", *(s.startswith(h) for h in HEADERS), s.isin(*CHROME[:2], *sites), F.lower(s).isin(*authors) if authors else F.lit(False), s.rlike(r"^\d{1,4}\z"), s.rlike(MONTH + r"\d"), s.rlike(r"^\d{4}-\d{2}-\d{2}")]
         return _any([*tests, s.contains("UTC") & (F.length(s) < 50), s.rlike(r"^Re:\s") & (F.length(s) < 120), (F.length(s) < 80) & ~s.rlike("[.?!,;:]")])
 
+    def rest(lines: Column) -> Column:
+        first = _first(F.transform(lines, lambda x: ~head(T.strip(x))))
+        return T.let(first, lambda n: F.when(n >= 0, F.array_join(F.slice(lines, n + 1, F.size(lines)), "\n")).otherwise(""))
+
     def step(t: Column) -> Column:
-        first = _first(F.transform(T.lines(t), lambda x: ~head(T.strip(x))))
-        return F.when(first >= 0, F.array_join(F.slice(T.lines(t), first + 1, F.size(T.lines(t))), "\n")).otherwise("")
+        return T.let(T.lines(t), rest)
 
     return step
 
@@ -198,10 +204,13 @@ def positive_head(sites: Sequence[str] = (), authors: Sequence[str] = ()) -> Ste
     def head(s: Column) -> Column:
         return _any([s == "", s.rlike(rf"(?iu)^(?:{fixed})\z"), s.rlike(r"(?i)^(?:Re:|Posted)"), s.rlike(r"(?iU)^\w+ \d+, \d{4}"), s.rlike(MONTH.removesuffix(r"\s+")), s.rlike(r"^\d{4}-\d{2}-\d{2}"), s.contains("UTC") & (F.length(s) < 40)])
 
+    def rest(lines: Column) -> Column:
+        first = _first(F.transform(lines, lambda x: ~head(T.strip(x))))
+        plain = lambda n: F.transform(F.slice(lines, n + 1, F.size(lines)), lambda x: F.when(T.strip(x) == "", "").otherwise(x))
+        return T.let(first, lambda n: F.when(n >= 0, F.array_join(plain(n), "\n")).otherwise(""))
+
     def step(t: Column) -> Column:
-        first = _first(F.transform(T.lines(t), lambda x: ~head(T.strip(x))))
-        rest = F.transform(F.slice(T.lines(t), first + 1, F.size(T.lines(t))), lambda x: F.when(T.strip(x) == "", "").otherwise(x))
-        t = T.strip(F.when(first >= 0, F.array_join(rest, "\n")).otherwise(""))
+        t = T.strip(T.let(T.lines(t), rest))
         t = F.regexp_replace(t, r"(?s)Quote from:.*?(?=\n\n)", "")
         return T.strip(F.regexp_replace(t, r"(?md)^Quote\s*$", ""))
 
@@ -210,14 +219,19 @@ def positive_head(sites: Sequence[str] = (), authors: Sequence[str] = ()) -> Ste
 
 def negative_head(t: Column) -> Column:
     """The first generation's cleaner of the negative class: header lines up to a blank or a rule, signature, quotes."""
-    s = F.transform(T.lines(t), lambda x: T.strip(x))
     head = lambda x: _any([x.startswith(h) for h in SHORT_HEADERS])
-    cut = _first(F.transform(s, lambda x: ~head(x) & ((x == "") | x.startswith("-----"))))
-    n = F.when(cut >= 0, cut).otherwise(F.size(s))
-    before = F.filter(F.slice(T.lines(t), 1, n), lambda x: ~head(T.strip(x)))
-    after = F.when(cut >= 0, F.slice(T.lines(t), cut + 2, F.size(s))).otherwise(F.array().cast("array<string>"))
-    t = signature(T.strip(F.array_join(F.concat(before, after), "\n")))
-    return T.strip(quoted_lines(on=".+", who="", quote=False)(t))
+
+    def body(lines: Column) -> Column:
+        cut = _first(F.transform(lines, lambda x: T.let(T.strip(x), lambda s: ~head(s) & ((s == "") | s.startswith("-----")))))
+
+        def at(cut: Column) -> Column:
+            before = F.filter(F.slice(lines, 1, F.when(cut >= 0, cut).otherwise(F.size(lines))), lambda x: ~head(T.strip(x)))
+            after = F.when(cut >= 0, F.slice(lines, cut + 2, F.size(lines))).otherwise(F.array().cast("array<string>"))
+            return F.array_join(F.concat(before, after), "\n")
+
+        return T.let(cut, at)
+
+    return T.strip(quoted_lines(on=".+", who="", quote=False)(signature(T.strip(T.let(T.lines(t), body)))))
 
 
 def profile(name: str, sites: Sequence[str] = (), authors: Sequence[str] = ()) -> list[Step]:
@@ -231,6 +245,13 @@ def profile(name: str, sites: Sequence[str] = (), authors: Sequence[str] = ()) -
     return {"v1_pos": [positive_head(sites, authors)], "v1_neg": [negative_head]}[name]
 
 
+def kept(t: Column, least: int = 15, name: str = "v5", **known: Sequence[str]) -> Column:
+    """cleaned and word_count, as an array of one, or of none under `least` words. To be exploded, so that nothing is cleaned
+    twice: a filter on the cleaned column would be pushed below the cleaning and bring a second one with it."""
+    counted = F.transform(F.array(clean(t, name, **known)), lambda x: F.struct(x.alias("cleaned"), T.word_count(x).alias("word_count")))
+    return F.filter(counted, lambda x: x["word_count"] >= least)
+
+
 def clean(t: Column, name: str = "v5", **known: Sequence[str]) -> Column:
     for step in profile(name, **known):
         t = step(t)

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as X
@@ -89,11 +89,11 @@ quantile_cont(x, 0.25)::double as p25, quantile_cont(x, 0.75)::double as p75, ro
 def length_stats(spark, sf_dir):
     x = F.col("word_count")
     rows = doc_word_count(spark, sf_dir)
-    upper = rows.groupBy("word_count").count().withColumn("upto", F.sum("count").over(Window.orderBy("word_count")))
-    half = rows.agg(F.expr("count(*) div 2 + 1").alias("half"))
-    upper = upper.crossJoin(F.broadcast(half)).where("upto >= half").agg(F.min("word_count").alias("upper_median"))
-    stats = rows.agg(F.min(x).alias("low"), F.max(x).alias("high"), F.round(F.avg(x), 6).alias("mean"), F.median(x).alias("median"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"), F.round(F.stddev_pop(x), 6).alias("deviation"))
-    return stats.crossJoin(F.broadcast(upper))
+    upper = F.expr("percentile_disc(0.5) within group (order by word_count desc)").cast("int")  # from above: the upper one of two middles
+    return rows.agg(
+        F.min(x).alias("low"), F.max(x).alias("high"), F.round(F.avg(x), 6).alias("mean"), upper.alias("upper_median"), F.median(x).alias("median"),
+        F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"), F.round(F.stddev_pop(x), 6).alias("deviation"),
+    )
 
 
 @query("""select doc_id as id, source, coalesce(lang, 'unknown') as author, source in ('src1', 'src2', 'src3', 'src4', 'src5') as archive, 1 as label, 'positive' as label_name
@@ -345,8 +345,7 @@ def _v5_sql() -> str:
 
 @query(f"select doc_id, text as cleaned, {WC}::int as word_count from {_v5_sql()} where {WC} >= 15")
 def clean_v5_full(spark, sf_dir):
-    rows = decorated(spark, sf_dir).select("doc_id", clean.clean(F.col("text")).alias("cleaned"))
-    return rows.withColumn("word_count", T.word_count(F.col("cleaned"))).where("word_count >= 15")
+    return decorated(spark, sf_dir).select("doc_id", F.inline(clean.kept(F.col("text"))))
 
 
 for name in ("v5a", "v4", "v2", "v1_pos", "v1_neg"):
