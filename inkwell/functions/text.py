@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's str.split() and strip() have it.
-SPACE = r"\s\x1c-\x1f"
-TOKEN = rf"(?U)[^{SPACE}]+"
+#: White space as Python's str.split() and strip() have it, sign by sign: Java finds these much faster than (?U) and \\s.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+TOKEN = rf"[^{SPACE}]+"
 WORD_CHAR = r"\w"
 
 
@@ -27,7 +27,7 @@ def word_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def lines(text: Column) -> Column:

@@ -114,3 +114,8 @@ def summary(docs: DataFrame, topic: str) -> DataFrame:
         line(common, "vocabulary", 50, m >= 50), line(trigram_problems(docs).agg(F.count("*").alias("metric")), "trigrams", 0, m == 0), gap(topic_rate(docs, topic), 20, "topic"),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def verdict(checks: DataFrame) -> DataFrame:
+    """One row: how many checks, and whether all passed."""
+    return checks.agg(F.count("*").alias("checks"), F.bool_and("passed").alias("passed"))

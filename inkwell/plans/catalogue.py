@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -14,6 +14,7 @@ from ..functions import features as X
 from ..functions import text as T
 from ..operators import audit, clean, corpus, model, score, terms
 from ..sources import files, html
+from . import cleaning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,7 +43,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
 
 
-TOKENS = r"regexp_extract_all(text, '[^\s\x1c-\x1f]+')"
+TOKENS = r"regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x85\pZ]+')"
 WC = f"len({TOKENS})"
 LABELLED = "(select d.*, quality as label from documents d join labels l using (doc_id))"
 
@@ -50,15 +51,17 @@ LABELLED = "(select d.*, quality as label from documents d join labels l using (
 DECORATED = """case doc_id % 6
 when 0 then concat('Quote from: someone on a day', chr(10), 'quoted words here', chr(10), chr(10), text, chr(10), 'Quote from: last', chr(10), 'unended')
 when 1 then concat('On the third of a month one wrote:', chr(10), '> quoted', chr(10), 'Bob wrote:', chr(10), 'Quote', chr(10), replace(text, '.', '...'))
-when 2 then concat(text, chr(10), '-- ', chr(10), 'a signature', chr(10), '-- ', chr(10), 'more')
+when 2 then concat(replace(text, chr(10), concat(chr(13), chr(10))), chr(13), 'an', chr(160), 'old', chr(8203), chr(13), 'line', chr(65279), chr(10), '-- ', chr(10), 'a signature', chr(10), '-- ', chr(10), 'more')
 when 3 then concat('see http://a.b/c now', chr(10), 'Code:', chr(10), 'x = 1', chr(10), chr(10), chr(10), text, chr(10), 'Code:', chr(10), 'y')
 when 4 then concat('A list', chr(10), 'Title', chr(10), '12', chr(10), 'From:', chr(10), 'someone', chr(10), 'Date:', chr(10), 'May 3, 2009, 10:20:30 UTC', chr(10), text, chr(10), 'View original', chr(10), 'Next', chr(10))
 else concat('[snip]', chr(10), '12345', chr(10), '123', chr(10), 'Subject: q', chr(10), 'January 3, 2009', chr(10), 'it', chr(8217), 's  ', chr(8220), 'fine', chr(8221), chr(8212), 'don', chr(39), 't', chr(8230), '  (I think; maybe: yes?)', chr(10), replace(text, chr(10), concat(chr(10), chr(10)))) end"""
+#: Spark's chr() ends at 255.
+SIGNS = re.compile(r"chr\((\d{3,})\)")
 DECORATED_SQL = f"(select doc_id, {DECORATED} as text from documents)"
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.expr(DECORATED.replace("chr(8217)", "'’'").replace("chr(8220)", "'“'").replace("chr(8221)", "'”'").replace("chr(8212)", "'—'").replace("chr(8230)", "'…'")).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", F.expr(SIGNS.sub(lambda m: f"'{chr(int(m[1]))}'", DECORATED)).alias("text"))
 
 
 # Counts, filters, aggregates
@@ -113,6 +116,13 @@ def same_thread_semi(spark, sf_dir):
     return conv.where("lower(role) <> 'system'").join(ids, "conv_id", "left_semi").select("conv_id", "turn", "role", F.lit(True).alias("same_thread"))
 
 
+@query("""select conv_id, turn, role, c.conv_id in (select conv_id from conversations where role = 'system') as same_thread from conversations c where lower(role) <> 'system'""")
+def same_thread_flag(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    ids = conv.where("role = 'system'").select(F.col("conv_id").alias("own")).distinct()
+    return conv.where("lower(role) <> 'system'").join(ids, F.col("conv_id") == F.col("own"), "left").select("conv_id", "turn", "role", F.col("own").isNotNull().alias("same_thread"))
+
+
 @query("select r as id from range(1, 2001, 25) t(r) where r not in (select conv_id from conversations where role = 'system') order by id limit 40")
 def supplement_anti_stride(spark, sf_dir):
     ids = table(spark, sf_dir, "conversations").where("role = 'system'").select(F.col("conv_id").alias("id")).distinct()
@@ -149,7 +159,7 @@ def phrase_containment(spark, sf_dir):
 
 # Audits
 
-VOCABULARY = f"""with v as (select label, word, count(*) as n from (select label, regexp_replace(unnest(regexp_extract_all(lower(text), '[^\\s\\x1c-\\x1f]+')), '[^a-z]', '', 'g') as word from {LABELLED})
+VOCABULARY = f"""with v as (select label, word, count(*) as n from (select label, regexp_replace(unnest(regexp_extract_all(lower(text), '[^\\s\\x0b\\x1c-\\x1f\\x85\\pZ]+')), '[^a-z]', '', 'g') as word from {LABELLED})
 where len(word) > 2 and word not in ({', '.join(repr(w) for w in audit.STOP_WORDS)}) group by label, word qualify row_number() over (partition by label order by count(*) desc, word) <= 200)"""
 
 
@@ -173,6 +183,11 @@ def trigram_problems(spark, sf_dir):
     return audit.trigram_problems(labelled(spark, sf_dir)).select("tri", F.round("pos", 9).alias("pos"), F.round("neg", 9).alias("neg"))
 
 
+@query(f"{SQL['trigram_problems']} order by abs(pos - neg) desc, tri limit 10")
+def trigram_problems_top10(spark, sf_dir):
+    return trigram_problems(spark, sf_dir).orderBy(F.desc(F.abs(F.col("pos") - F.col("neg"))), "tri").limit(10)
+
+
 @query(f"select source, count(*) filter (label = 1) * 100 / (select count(*) from {LABELLED} where label = 1) as pos, count(*) filter (label = 0) * 100 / (select count(*) from {LABELLED} where label = 0) as neg from {LABELLED} group by source")
 def source_parity(spark, sf_dir):
     return audit.source_parity(labelled(spark, sf_dir))
@@ -206,7 +221,42 @@ def topic_mention_rate(spark, sf_dir):
     return audit.topic_rate(labelled(spark, sf_dir), "ation")
 
 
-@query()
+def _gap_sql(rows: str, name: str, limit: int) -> str:
+    return f"select '{name}' as \"check\", round(max(abs(pos - neg)), 6) as metric, {limit}::double as threshold, max(abs(pos - neg)) <= {limit} as passed from ({rows})"
+
+
+def _line_sql(rows: str, name: str, limit: float, ok: str) -> str:
+    return f"select '{name}' as \"check\", round(metric::double, 6) as metric, {limit}::double as threshold, {ok} as passed from ({rows})"
+
+
+def _artifact_rates(rows: str) -> str:
+    share = lambda a, y: f"count(*) filter (label = {y} and {_artifact_sql(a)}) * 100 / count(*) filter (label = {y})"
+    return " union all ".join(f"select '{a}' as \"check\", {share(a, 1)} as pos, {share(a, 0)} as neg from {rows}" for a in audit.ARTIFACTS)
+
+
+_KS = f"""with d as (select max(abs(p / ps - n / ns)) as d, max(ps) as ps, max(ns) as ns from (
+  select sum(p) over (order by x) as p, sum(n) over (order by x) as n, sum(p) over () as ps, sum(n) over () as ns from (
+    select x, count(*) filter (label = 1) as p, count(*) filter (label = 0) as n from (select {WC} as x, label from {LABELLED}) group by x))),
+r as (select d, sqrt(ps * ns / (ps + ns)) as root from d),
+l as (select d, (root + 0.12 + 0.11 / root) * d as lam from r)
+select case when d < 1e-9 then 1 else greatest(0, least(1, list_sum([(case when j % 2 = 1 then 2 else -2 end) * exp(-2 * j * j * lam * lam) for j in range(1, 101)]))) end as metric from l"""
+SUMMARY = " union all ".join([
+    _gap_sql(SQL["source_parity"], "source parity", 10),
+    _line_sql(_KS, "length", 0.05, "metric > 0.05"),
+    _line_sql(f"select greatest(pos, neg) / greatest(least(pos, neg), 0.01) as metric from ({SQL['newline_density']})", "newlines", 1.25, "metric between 0.8 and 1.25"),
+    _gap_sql(_artifact_rates(LABELLED), "artifacts", 5),
+    _line_sql(f"select common * 100 / 200 as metric from ({SQL['vocab_top200_overlap']})", "vocabulary", 50, "metric >= 50"),
+    _line_sql(f"select count(*) as metric from ({SQL['trigram_problems']})", "trigrams", 0, "metric = 0"),
+    _gap_sql(SQL["topic_mention_rate"], "topic", 20),
+])
+
+
+@query(f"select count(*) as checks, bool_and(passed) as passed from ({SUMMARY})")
+def audit_verdict(spark, sf_dir):
+    return audit.verdict(audit_summary(spark, sf_dir))
+
+
+@query(SUMMARY)
 def audit_summary(spark, sf_dir):
     return audit.summary(labelled(spark, sf_dir), "ation")
 
@@ -221,7 +271,10 @@ def char_tfidf_top(spark, sf_dir):
     return terms.weights(docs(spark, sf_dir), terms.char_grams(docs(spark, sf_dir), 3), 300)
 
 
-@query(_TERMS.format("select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) as term from documents", 1000))
+_WORDS = "select doc_id, term from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]{{2,}}')) as term from documents) where term not in ({0})"
+
+
+@query(_TERMS.format(_WORDS.format(", ".join("'" + w.replace("'", "''") + "'" for w in terms.STOP)), 1000))
 def word_tfidf_top(spark, sf_dir):
     return terms.weights(docs(spark, sf_dir), terms.word_terms(docs(spark, sf_dir)), 1000)
 
@@ -233,6 +286,19 @@ def naive_tfidf_lr(spark, sf_dir):
     return terms.naive_check(rows)
 
 
+_GRAMS = " union all ".join(f"select doc_id, substr(text, i, {n}) as term from (select doc_id, text, unnest(range(1, len(text) - {n - 2})) as i from documents where len(text) >= {n})" for n in (2, 3, 4))
+
+
+@query(f"""with t as (select doc_id, term, count(*) as n from ({_GRAMS}) group by all),
+d as (select term, count(*) as df from t group by term order by df desc, term limit 500),
+w as (select doc_id, term, n * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as w from t join d using (term))
+select doc_id, count(*) as terms, round(max(w) / sqrt(sum(w * w)), 6) as heaviest, round(sum(w) / sqrt(sum(w * w)), 6) as total from w group by doc_id""")
+def char_gram_matrix(spark, sf_dir):
+    """Unit rows over the 500 most common 2- to 4-grams, summed up by document."""
+    rows = terms.matrix(docs(spark, sf_dir), (2, 3, 4), 500)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"), F.round(F.sum("weight"), 6).alias("total"))
+
+
 # Features
 
 
@@ -258,8 +324,8 @@ def _features_sql(profile: str, source: str) -> str:
         out |= {"vocab_type_token_ratio": "types / wc", "vocab_hapax_ratio": "once / wc", "cap_all_caps_rate": f"len([x for x in w if {up('x')} and len(x) > 1]) / wc", "cap_initial_caps_rate": f"len([x for x in w if {up('x[1]')} and not {up('x')}]) / wc", "para_count": f"{pn}::double", "para_mean_length": f"case when {pn} > 0 then {ps} / {pn} else 0 end"}
     else:
         out |= {"sent_mean": zero(f"{s} / {n}"), "sent_std": zero(deviation), "sent_count": f"{n} / wc * 100", "word_mean_len": f"{ws} / wc", "vocab_ttr": "types / wc", "vocab_hapax": "once / wc", "para_count": f"{pn} / wc * 100"}
-    blank = r"regexp_matches(x, '[^\s\x1c-\x1f]')"
-    token = r"'[^\s\x1c-\x1f]+'"
+    blank = r"regexp_matches(x, '[^\s\x0b\x1c-\x1f\x85\pZ]')"
+    token = r"'[^\s\x0b\x1c-\x1f\x85\pZ]+'"
     return f"""(with t as (select doc_id, text, {TOKENS} as w from {source}),
 m as (select doc_id, text, w, nullif(len(w), 0) as wc, [len(x) for x in w] as wl, [len(regexp_extract_all(x, {token})) for x in regexp_split_to_array(text, '[.!?]+') if {blank}] as sl,
   [len(regexp_extract_all(x, {token})) for x in string_split(text, concat(chr(10), chr(10))) if {blank}] as pl,
@@ -298,6 +364,19 @@ def class_profile_diff(spark, sf_dir):
     return class_profile(spark, sf_dir).withColumns({"diff": F.round(F.col("pos") - F.col("neg"), 8), "ratio": ratio})
 
 
+_MEANS = ", ".join(f"round(avg({f}) filter (label = {y}), 9) as {f}_{y}" for f in X.names() for y in (0, 1))
+_ROWS = " union all ".join(f"select '{f}' as feature, {f}_1 as pos, {f}_0 as neg from m" for f in X.names())
+
+
+@query(f"with m as (select {_MEANS} from {LONG_TEXTS}), r as ({_ROWS}) select feature, pos, neg, round(pos - neg, 8) as diff from r order by abs(round(pos - neg, 8)) desc, feature limit 30")
+def class_profile_top30(spark, sf_dir):
+    """The features whose means differ most between the classes, of all."""
+    row = class_rows(spark, sf_dir).groupBy().pivot("label", [0, 1]).agg(*(F.round(F.avg(f), 9).alias(f) for f in X.names()))
+    flat = row.select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"1_{f}").alias("pos"), F.col(f"0_{f}").alias("neg")) for f in X.names()))))
+    diff = F.round(F.col("pos") - F.col("neg"), 8)
+    return flat.withColumn("diff", diff).orderBy(F.desc(F.abs("diff")), "feature").limit(30)
+
+
 def class_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and label of the labelled documents of 50 words and more."""
     long = docs(spark, sf_dir).where(T.word_count(F.col("text")) >= 50).select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
@@ -313,7 +392,7 @@ _white = _trim("regexp_replace(array_to_string([" + _trim("x") + " for x in stri
 _META = " or ".join([f"{_S} in ('View original', 'View in thread')", f"regexp_matches({_S}, '^\\d{{1,4}}$')", f"regexp_matches({_S}, '^(From|Subject|Date):\\s*$')", f"regexp_matches({_S}, '{clean.MONTH}\\d{{1,2}},\\s+\\d{{4}}')", f"(contains({_S}, 'UTC') and len({_S}) < 50 and regexp_matches({_S}, '\\d{{2}}:\\d{{2}}'))", f"regexp_matches({_S}, '{clean.MAIL}')", f"regexp_matches({_S}, '^\\[.{{1,38}}\\]$')"])
 _QUOTED = " or ".join([f"starts_with({_S}, '>')", f"regexp_matches({_S}, '^On .{{10,80}} wrote:\\s*$')", f"regexp_matches({_S}, '^.{{1,30}} wrote:\\s*$')", f"{_S} = 'Quote'"])
 STEP_SQL = {
-    "c1": "replace(replace(replace(text, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)), chr(160), ' ')",
+    "c1": "translate(replace(replace(replace(text, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)), chr(160), ' '), concat(chr(8203), chr(8204), chr(65279)), '')",
     "c4": _lines(_QUOTED),
     "c5": "regexp_replace(text, '(?s)\\n-- ?\\n.*$', '')",
     "c6": "regexp_replace(text, 'https?://[^\\s]+', '', 'g')",
@@ -349,7 +428,7 @@ def clean_v5_full(spark, sf_dir):
 
 
 for name in ("v5a", "v4", "v2", "v1_pos", "v1_neg"):
-    query(None, f"clean_{name}_full")(lambda spark, sf_dir, n=name: decorated(spark, sf_dir).select("doc_id", clean.clean(F.col("text"), n).alias("cleaned")))
+    query(f"select doc_id, text as cleaned from {cleaning.profile(name, DECORATED_SQL, STEP_SQL, _C3)}", f"clean_{name}_full")(lambda spark, sf_dir, n=name: decorated(spark, sf_dir).select("doc_id", clean.clean(F.col("text"), n).alias("cleaned")))
 
 
 @query(f"""with f as (select doc_id, {_trim("string_split(text, chr(10))[1]")} as line from {_v5_sql()})
@@ -449,11 +528,18 @@ def score_summary_by_author(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 9) for c in ("mean", "p25", "p75")})
 
 
-@query()
+_REFERENCE = f"(select f.* from {_features_sql('s', DECORATED_SQL)} f join labels using (doc_id) where quality = 1 order by doc_id limit 100)"
+_CLOSE = """case when mean > 0.0001 then case when value / mean between 0.7 and 1.3 then 'Close' when value / mean between 0.4 and 1.6 then '~' else 'Far' end
+  when value < 0.001 then 'Close' else 'Far' end"""
+_PAIRS = " union all ".join(f"select doc_id, '{f}' as feature, {f} as value, (select avg({f}) from r) as mean from f" for f in score.FINGERPRINT)
+
+
+@query(f"""with f as (select * from {_features_sql('s', DECORATED_SQL)}), r as (select * from {_REFERENCE}),
+p as ({_PAIRS}) select doc_id, feature, round(value, 9) as value, round(mean, 9) as mean, {_CLOSE} as match from p""")
 def fingerprint(spark, sf_dir):
     rows = X.features(decorated(spark, sf_dir))
     reference = rows.join(_labels(spark, sf_dir).where("label = 1").select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").limit(100)
-    return score.fingerprint(rows, reference)
+    return score.fingerprint(rows, reference).withColumns({c: F.round(c, 9) for c in ("value", "mean")})
 
 
 # Pages and archives
@@ -487,22 +573,40 @@ def html_tree_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.tree_text("html").alias("text"))
 
 
-@query("select page_id, nullif(regexp_extract(concat(html, '<a href=\"http://f/index.php?topic=', page_id, '.0\">'), 'topic=(\\d+)', 1), '')::bigint as topic from pages")
+@query("""select page_id, nullif(regexp_extract(concat('<a href="http://other/?topic=7">', html, '<a href="http://f/index.php?topic=', page_id, '.0">'),
+  '(?i)<a\\b[^>]*\\bhref="[^"]*f/[^"]*topic=(\\d+)', 1), '')::bigint as topic from pages""")
 def url_topic_id(spark, sf_dir):
-    page = F.concat("html", F.lit('<a href="http://f/index.php?topic='), F.col("page_id").cast("string"), F.lit('.0">'))
-    return table(spark, sf_dir, "pages").select("page_id", html.topic(page).alias("topic"))
+    page = F.concat(F.lit('<a href="http://other/?topic=7">'), "html", F.lit('<a href="http://f/index.php?topic='), F.col("page_id").cast("string"), F.lit('.0">'))
+    return table(spark, sf_dir, "pages").select("page_id", html.topic(page, "f/").alias("topic"))
 
 
-@query()
+@query(f"select doc_id, source as author, {_trim('text')} as text from documents, range(2) where len({_trim('text')}) >= 30")
 def forum_posts(spark, sf_dir):
-    body = F.concat(F.lit('<td class="poster_info"><a href="u">'), "source", F.lit('</a></td><div class="post">'), "text", F.lit("</div>"))
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.concat(F.lit('<td class="poster_info"><a href="u">'), "source", F.lit('</a></td><div class="post">'), safe, F.lit("</div>"))
     return docs(spark, sf_dir).select("doc_id", F.inline(html.posts(F.concat(body, body))))
 
 
-@query()
+PAGE = "concat('From: ann x', chr(10), 'Date: today', chr(10), text, chr(10), '> quoted', chr(10), 'from: Ann y', chr(10), 'Subject: more', chr(10), text)"
+
+
+def _blocks_sql(page: str, mark: str) -> str:
+    return f"""select doc_id, body from (
+  select doc_id, {_trim("coalesce(array_to_string([x for x in l[h + 1:] if not starts_with(ltrim(x), '>')], chr(10)), '')")} as body from (
+    select doc_id, l, coalesce(list_max([i for i in range(1, len(l) + 1) if regexp_matches(l[i], '^\\s*[A-Z][A-Za-z-]*:')]), 0) as h from (
+      select doc_id, string_split(concat('From: ann', part), chr(10)) as l from (
+        select doc_id, unnest(string_split({page}, '{mark}')[2:]) as part from documents))))
+where len(regexp_extract_all(body, '[^\\s]+')) >= 10"""
+
+
+@query(_blocks_sql(PAGE, "From: ann"))
 def block_split(spark, sf_dir):
-    page = F.concat(F.lit("From: ann x\nDate: today\n"), "text", F.lit("\nFrom: bob\nDate: then\nother"))
-    return docs(spark, sf_dir).select("doc_id", F.explode(files.blocks(page, "ann")).alias("body"))
+    return docs(spark, sf_dir).select("doc_id", F.explode(files.blocks(F.expr(PAGE), "ann")).alias("body"))
+
+
+@query(_blocks_sql(f"replace({PAGE}, 'from: Ann', 'From: ann')", "From: ann"))
+def block_split_any_case(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.explode(files.blocks(F.expr(PAGE), "ANN", any_case=True)).alias("body"))
 
 
 @query("select r as id, format('http://archive/{}/', r) as url from range(5, 544) t(r)")
@@ -546,7 +650,7 @@ def stream_score(spark, sf_dir):
     """The documents as a stream, scored by a plain rule in batches."""
     from ..streaming.scoring import score_stream
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}") + f"/stream-{uuid.uuid4().hex}"
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")) + f"/stream-{uuid.uuid4().hex}"
     schema = docs(spark, sf_dir).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
     plain = lambda d: d.select("doc_id", ((T.word_count(F.col("text")) % 101) / 100).alias("score")).withColumn("tier", score.tier(F.col("score")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip, word_count
+
 ITEM = "source string, url string, title string, date string, number int, msg_num int, thread_id bigint, author string, same_thread boolean, text string"
 
 
@@ -25,17 +29,18 @@ def grid(spark: SparkSession, first: int, last: int, form: str) -> DataFrame:
     return spark.range(first, last + 1).select("id", F.format_string(form, "id").alias("url"))
 
 
-def blocks(text: Column, author: str) -> Column:
-    """Messages of one author in an archive page: cut before each From: line, body behind the last header line."""
-    parts = F.filter(F.split(text, rf"(?=From:\s*{author})", -1), lambda p: F.lower(F.left(p, F.lit(200))).contains(author.lower()))
+def blocks(text: Column, author: str, least: int = 10, any_case: bool = False) -> Column:
+    """Messages of one author in an archive page, of `least` words or more: cut before each From: line, body behind the last header line."""
+    mark = rf"(?={'(?i)' if any_case else ''}From:\s*{re.escape(author)})"
+    parts = F.filter(F.split(text, mark, -1), lambda p: F.lower(F.left(p, F.lit(200))).contains(author.lower()))
 
     def body(p: Column) -> Column:
         lines = F.split(p, "\n", -1)
         last = F.array_position(F.transform(F.reverse(lines), lambda x: x.rlike(r"^\s*[A-Z][A-Za-z-]*:")), True)
         kept = F.slice(lines, F.when(last > 0, F.size(lines) - last + 2).otherwise(1).cast("int"), F.size(lines))
-        return F.trim(F.array_join(F.filter(kept, lambda x: ~F.ltrim(x).startswith(">")), "\n"))
+        return strip(F.array_join(F.filter(kept, lambda x: ~F.ltrim(x).startswith(">")), "\n"))
 
-    return F.transform(parts, body)
+    return F.filter(F.transform(parts, body), lambda b: word_count(b) >= least)
 
 
 def write_splits(rows: DataFrame, folder: str) -> None:

@@ -50,8 +50,9 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1))
 
 
-def topic(html: Column) -> Column:
-    return F.nullif(F.regexp_extract(html, r"topic=(\d+)", 1), F.lit("")).cast("long")
+def topic(html: Column, host: str) -> Column:
+    """The number of the topic that the first link to the host with one has; host is a regular expression."""
+    return F.nullif(F.regexp_extract(html, rf'(?i)<a\b[^>]*\bhref="[^"]*{host}[^"]*topic=(\d+)', 1), F.lit("")).cast("long")
 
 
 class _Tree(HTMLParser):
