@@ -8,8 +8,8 @@ of names by Spark:
    runs that no other document names the same are dropped, and with them all that is unique.
 2. Reference blocks: an anchor with its surroundings (all windows over it) is a block, and the block of the least
    document that has it is its reference. A later document has the whole block from there.
-   A window that another document has reaches half of its rest beyond the anchor at one side at least; anchors whose
-   names up to there are unique at both sides are dropped.
+   A window that another document has reaches a third of its rest beyond the anchor on both sides, or two thirds on
+   one; anchors whose names up to there are unique are dropped.
 3. What stays (the ends of repeats) is judged window by window, by the pair of the names of its halves; each window
    is looked up by its own anchor only, and its reference is the least document's window.
 
@@ -42,8 +42,8 @@ AT_BITS, OPEN, CROWDED = 40, 1 << 62, 1 << 61
 HOT = 32
 #: Key of the words' hashes.
 SEED = 0x1F3A5C79
-#: Bits of a side's name; those of the surroundings' are above.
-SIDE = 12
+#: Bits of the name of each of four sides; those of the surroundings' are above.
+SIDE = 6
 _LEFT, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -111,18 +111,26 @@ def anchors(names: Names, length: int, gram: int) -> np.ndarray:
     return np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, least, pad]), width) == g)
 
 
+def _steps(around: int) -> tuple[int, int]:
+    """Two lengths beyond an anchor: of the `around` tokens that a window has beside it, the sides have one of these at least on
+    either hand, or the longer one on one."""
+    return around // 3, around - around // 3
+
+
 def windows_of(names: Names, given: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Starts of the windows that have one of these anchors as theirs and hold no side that is unique.
 
-    given: four times the anchor, and 1 if its left side is shared, 2 if its right side is.
+    given: 16 times the anchor, and a bit for each side that is shared: the short and the long one to the left, and to the right.
     """
-    at, left, right = given >> 2, (given & 1 > 0)[:, None], (given & 2 > 0)[:, None]
-    around = length - gram
-    side, back = (around + 1) // 2, np.arange(around + 1)
+    at, around = given >> 4, length - gram
+    back, steps = np.arange(around + 1), _steps(around)
+    shared = [((given >> k) & 1 > 0)[:, None] for k in range(4)]
     g, width = names.every(gram), length - gram + 1
     least = _sliding(np.minimum, g, width)
     start = at[:, None] - back
-    fits = (start >= 0) & (start < len(least)) & (left | (back < side)) & (right | (around - back < side))
+    fits = (start >= 0) & (start < len(least))
+    for k, reach in enumerate((back, back, around - back, around - back)):
+        fits &= shared[k] | (reach < steps[k % 2])
     start, own = start[fits], np.broadcast_to(at[:, None], fits.shape)[fits]
     return np.unique(start[least[start] == g[own]])
 
@@ -211,8 +219,7 @@ def _round_one(keyed: DataFrame, tokens: Tokens, length: int, gram: int, sources
     """key, ctx, doc_id, at, src, src_at: the anchors. What an earlier document of the same slice has with its
     surroundings is a repeat already, of the anchor src_at of the document src, and has a negative at; what is crowded
     is open already."""
-    around = length - gram
-    side, below = (around + 1) // 2, np.uint64((1 << SIDE) - 1)
+    around, below = length - gram, np.uint64((1 << SIDE) - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 * SLICE_BYTES):
@@ -224,9 +231,10 @@ def _round_one(keyed: DataFrame, tokens: Tokens, length: int, gram: int, sources
                 at = anchors(names, length, gram)
                 if len(at):
                     low, high = np.maximum(at - around, 0), np.minimum(at + gram + around, names.n)
-                    ctx = (names.between(low, high) ^ (at - low).astype(np.uint64)) << np.uint64(2 * SIDE)
-                    ctx |= (names.between(np.maximum(at - side, 0), at + gram) & below) << np.uint64(SIDE)
-                    ctx |= names.between(at, np.minimum(at + gram + side, names.n)) & below
+                    ctx = (names.between(low, high) ^ (at - low).astype(np.uint64)) << np.uint64(4 * SIDE)
+                    for k, step in enumerate(_steps(around)):
+                        ctx |= (names.between(np.maximum(at - step, 0), at + gram) & below) << np.uint64(k * SIDE)
+                        ctx |= (names.between(at, np.minimum(at + gram + step, names.n)) & below) << np.uint64((k + 2) * SIDE)
                     parts.append((names.of(at, gram), ctx, np.full(len(at), doc), at | (int(salt) << AT_BITS)))
             if not parts:
                 continue
@@ -255,23 +263,24 @@ def _round_two(found: DataFrame, sources: bool) -> DataFrame:
     judged = judged.withColumns({"low": F.min("doc_id").over(all_), "high": F.max("doc_id").over(all_), "one": F.min("ctx").over(all_) == F.max("ctx").over(all_)})
     sure = (F.col("at") < 0) | (F.col("at") >= OPEN)
     judged = judged.where(sure | (F.col("low") < F.col("high"))).withColumn("late", (F.col("at") < 0) | (F.col("doc_id") > F.col("first")))
-    mask = F.lit((1 << SIDE) - 1)
-    sides = {"l": F.shiftright("ctx", SIDE).bitwiseAND(mask), "r": F.col("ctx").bitwiseAND(mask)}
+    sides = {f"s{k}": F.shiftright("ctx", k * SIDE).bitwiseAND(F.lit((1 << SIDE) - 1)) for k in range(4)}
     judged = judged.where(sure | F.col("late") | ~F.col("one")).withColumns(sides)
-    shared = [F.min("doc_id").over(w) < F.max("doc_id").over(w) for w in (Window.partitionBy("key", "l"), Window.partitionBy("key", "r"))]
     crowded = F.max((F.col("at") > 0) & (F.col("at").bitwiseAND(F.lit(CROWDED)) != 0)).over(all_)
-    judged = judged.withColumn("near_c", crowded).withColumn("near_l", shared[0]).withColumn("near_r", shared[1])
-    judged = judged.where(sure | F.col("late") | F.col("near_c") | F.col("near_l") | F.col("near_r"))
+    judged = judged.withColumn("near_c", crowded)
+    for k in range(4):
+        same = Window.partitionBy("key", f"s{k}")
+        judged = judged.withColumn(f"near_{k}", F.min("doc_id").over(same) < F.max("doc_id").over(same))
+    judged = judged.where(sure | F.expr("late or near_c or near_1 or near_3 or (near_0 and near_2)"))
     bare = F.lit(CROWDED - 1)
     plain = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).bitwiseAND(bare)
     both = (F.col("at") >= OPEN) | F.col("near_c")
-    near = F.when(both, 3).otherwise(F.col("near_l").cast("int") + 2 * F.col("near_r").cast("int"))
+    near = F.when(both, 15).otherwise(sum((F.col(f"near_{k}").cast("int") * (1 << k) for k in range(1, 4)), F.col("near_0").cast("int")))
     low = F.lit((1 << AT_BITS) - 1)
     judged = judged.select("doc_id", plain.alias("whole"), "late", near.alias("near"), "src", F.col("src_at").bitwiseAND(low).alias("src_at"))
     judged = judged.withColumn("at", F.col("whole").bitwiseAND(low))
     judged = judged if sources else judged.withColumn("src_at", F.col("at"))
     return judged.groupBy("doc_id", F.shiftright("whole", AT_BITS).alias("salt")).agg(
-        F.collect_list(F.when(F.col("late"), _place())).alias("done"), F.collect_list(F.when(~F.col("late"), 4 * F.col("at") + F.col("near"))).alias("open")
+        F.collect_list(F.when(F.col("late"), _place())).alias("done"), F.collect_list(F.when(~F.col("late"), 16 * F.col("at") + F.col("near"))).alias("open")
     )
 
 
