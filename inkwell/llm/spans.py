@@ -17,7 +17,7 @@ Then every document is parsed: from left to right into the longest factors that
 
 A slice of documents resolves what it can by itself before each round, and an anchor that many of its documents have in
 different surroundings goes straight to the third round, so that a hot passage weighs no more than the slices that
-have it. A wrong match needs equal names of 104 bits (blocks) or 128 bits (windows), or two words of one 64-bit name.
+have it. A wrong match needs equal names of 104 bits (blocks) or 96 bits (windows), or two words of one 64-bit name.
 """
 
 from __future__ import annotations
@@ -293,6 +293,7 @@ def _round_three(keyed: DataFrame, two: DataFrame, tokens: Tokens, length: int,
             owner = _owners(doc, start, b, a)
             late, src, src_at = doc > doc[owner], doc[owner], start[owner]
             a = np.where(late, _lone(start, doc), a)
+            b &= np.uint64(0xFFFFFFFF)  # 96 bits name a window; what is left out would not compress
             yield _table(["a", "b"], [a.view(np.int64), b.view(np.int64), doc, np.where(late, -1 - start, start)], late, [src, src_at] if sources else [])
 
     open_ = two.where(F.size("open") > 0).select("doc_id", "salt", "open")
