@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ MARK = "▁".encode()
 _UNIT = re.compile(rb" +[^ ]*")
 #: Units that a worker remembers before it starts anew.
 REMEMBERED = 300_000
+#: Pairs of pieces that are looked up without a dictionary: a slot for each value of these bits of a hash.
+SLOT_BITS = 21
 _NONE, _START, _CHAR = -3, -2, -1
 
 
@@ -67,6 +70,7 @@ class Vocabulary:
             elif p.type == 1:
                 self.pieces[i] = p.piece.encode().replace(MARK, b" ")
                 self.ids[self.pieces[i]] = i
+        self.size = np.array([len(p) for p in self.pieces], np.int64)
         if any(b" " in p.lstrip(b" ") for p in self.ids):
             raise ValueError("a piece has the mark of a word's start behind another character")
 
@@ -126,6 +130,7 @@ class Encoder:
         self.low, self.high = ([np.array([int.from_bytes((p[8 * j : 8 * j + 8] + fill * 8)[:8], "big") for p in patterns], np.uint64) for j in range(blocks)] for fill in (b"\0", b"\xff"))
         self.alone = {p for p in patterns if len(p.decode()) == 1}
         self.pairs: dict[int, bool] = {}
+        self.slots, self.apart = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
         self.runs: dict[int, np.ndarray] = {}
         spaces = sorted(len(p) for p in patterns if not p.strip(b" "))
         self.widest = spaces[-1] if spaces else 0
@@ -138,19 +143,29 @@ class Encoder:
         self.ids, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _apart(self, pairs: np.ndarray) -> np.ndarray:
-        """Whether merging leaves the two pieces of each pair apart; pair: (last + 3) * 2**32 + next."""
-        known, out = self.pairs, []
-        for k in pairs.tolist():
-            got = known.get(k)
-            if got is None:
-                last, piece = (k >> 32) - 3, k & 0xFFFFFFFF
-                left = [last] if last >= 0 else []
-                got = self.v.merge(b"".join(self.v.pieces[i] for i in [*left, piece])) == [*left, piece]
-                if len(known) > 1_000_000:
-                    known.clear()
-                known[k] = got
-            out.append(got)
-        return np.array(out, bool)
+        """Whether merging leaves the two pieces of each pair apart; pair: (last + 3) * 2**32 + next.
+
+        What was found for a pair stays in its slot until another pair needs that.
+        """
+        slot = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+        out, missed = self.apart[slot], np.flatnonzero(self.slots[slot] != pairs)
+        if len(missed):
+            new, at = np.unique(pairs[missed], return_inverse=True)
+            found = np.array([self._leaves(k) for k in new.tolist()], bool)[at]
+            out[missed] = found
+            self.slots[slot[missed]], self.apart[slot[missed]] = pairs[missed], found
+        return out
+
+    def _leaves(self, pair: int) -> bool:
+        got = self.pairs.get(pair)
+        if got is None:
+            last, piece = (pair >> 32) - 3, pair & 0xFFFFFFFF
+            both = [*([last] if last >= 0 else []), piece]
+            got = self.v.merge(b"".join(self.v.pieces[i] for i in both)) == both
+            if len(self.pairs) > 1_000_000:
+                self.pairs.clear()
+            self.pairs[pair] = got
+        return got
 
     def _relax(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units one after another, and how many each has."""
@@ -245,11 +260,11 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self._forget()
         units = [_UNIT.findall(b" " + t.replace(MARK, b" ")) if t else [] for t in texts]
-        new = list(dict.fromkeys(u for us in units for u in us if u not in self.known))
+        every = list(chain.from_iterable(units))
+        new = list(set(every).difference(self.known))
         if new:
             self._learn(new)
-        known = self.known
-        at = np.array([known[u] for us in units for u in us], np.int64)
+        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
         counts = self.counts[at]
         ids = self.ids[np.arange(counts.sum()) + np.repeat(self.starts[at] - np.cumsum(counts) + counts, counts)]
         sums = np.r_[0, np.cumsum(counts)][np.cumsum([0, *map(len, units)])]
@@ -278,8 +293,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = False, keep: l
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[null, False]), pa.array(ids))
             out, names = [*(batch.column(c) for c in given), lists], [*given, "ids"]
             if check:
-                pieces, flat = e.v.pieces, ids.tolist()
-                back = [b"".join([pieces[i] for i in flat[x - n : x]])[1:] for x, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                whole = b"".join(map(e.v.pieces.__getitem__, ids.tolist()))
+                upto = np.r_[0, np.cumsum(e.v.size[ids])][np.r_[0, ends]].tolist()
+                back = [whole[a + 1 : b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
                 out += [pa.array(counts), pa.array([None if t is None else b == t for b, t in zip(back, texts, strict=True)], pa.bool_())]
                 names += ["n_pieces", "round_trip"]
             yield pa.RecordBatch.from_arrays(out, names)
