@@ -21,7 +21,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.dedup_digest(_docs(spark, sf_dir))
-    return out.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", "n_spans", "n_factors", "kept_sha256")
+    return out.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", "n_spans", "kept_sha256")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_suffix_array_dedup, op4_simhash, op5_language, op6_url_filters, op7_toxicity, op8_fingerprints, op9_quality, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": urls.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substring.oracle(), "op6_url_filters": urls.oracle(), "op9_quality": quality.oracle()}

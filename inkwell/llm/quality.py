@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import slices, staged, texts_of
+from .common import WORD, slices, staged, texts_of
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 REACH, PRIOR, ACCURACY = 3.0, 100.0, 1000
@@ -101,3 +101,41 @@ def judge(docs: DataFrame, reach: float = REACH, prior: float = PRIOR) -> DataFr
     out = F.filter(F.array(*(F.when(beyond(s), s) for s in SLACK)), lambda x: x.isNotNull())
     judged = rows.withColumn("part", part).join(dealt, same, "left").withColumn("failed", out)
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
+
+
+_SHARES_SQL = {"symbols": "n_symbols / nullif(word_chars, 0)", "dup_lines": "n_dup_lines / nullif(n_lines, 0)", "repeats": "n_repeat_words / nullif(n_words, 0)", "length": "word_chars / nullif(n_words, 0)"}
+
+
+def oracle(reach: float = REACH, prior: float = PRIOR) -> str:
+    """The op9 query as SQL, with exact quartiles: the sketch's are exact on tables of some thousand documents."""
+    quartiles = lambda p: ", ".join(f"quantile_disc({s}, {q}) as {p}_{s}_{q * 100:.0f}" for s in SLACK for q in (0.25, 0.75))
+    shrunk = lambda s, q: f"(s_n * s_{s}_{q} + {prior} * (m_n * m_{s}_{q} + {prior} * a_{s}_{q}) / (m_n + {prior})) / (s_n + {prior})"
+    edges = ", ".join(f"{shrunk(s, 25)} as {s}_25, {shrunk(s, 75)} as {s}_75" for s in SLACK)
+    beyond = lambda s, slack: f"case when {s} < {s}_25 - {reach} * ({s}_75 - {s}_25) - {slack} or {s} > {s}_75 + {reach} * ({s}_75 - {s}_25) + {slack} then '{s}' end"
+    failed = ", ".join(beyond(s, slack) for s, slack in SLACK.items())
+    return f"""with t as (
+  select doc_id, lang, source, coalesce(text, '') as text, coalesce(regexp_extract_all(text, '{WORD}'), []) as w,
+  [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '{WORD}')] as l from documents),
+windows as (
+  select doc_id, i, array_to_string(w[i:i + {_WINDOW - 1}], ' ') as k from (
+    select doc_id, w, unnest(range(1, len(w) - {_WINDOW - 2})) as i from t where len(w) >= {_WINDOW})),
+twice as (
+  select doc_id, k from windows group by doc_id, k having count(*) > 1),
+repeated as (
+  select doc_id, count(distinct j) as n from (
+    select doc_id, unnest(range(i, i + {_WINDOW})) as j from windows join twice using (doc_id, k)) group by doc_id),
+c as (
+  select doc_id, lang, source, len(w)::bigint as n_words, coalesce(list_sum([len(x) for x in w]), 0)::bigint as word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+  coalesce(n, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines from t left join repeated using (doc_id)),
+r as (
+  select *, {", ".join(f"{x} as {s}" for s, x in _SHARES_SQL.items())}, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words as base_failed from c),
+a as (select count(*) as a_n, {quartiles("a")} from r where not base_failed),
+m as (select lang, count(*) as m_n, {quartiles("m")} from r where not base_failed group by lang),
+s as (select lang, source, count(*) as s_n, {quartiles("s")} from r where not base_failed group by lang, source),
+limits as (
+  select s.lang, s.source, {edges} from s join m on s.lang is not distinct from m.lang, a),
+judged as (
+  select r.*, [x for x in [{failed}] if x is not null] as failed
+  from r left join limits g on r.lang is not distinct from g.lang and r.source is not distinct from g.source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and len(failed) = 0 as kept, failed from judged"""

@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import spans
+from .common import WORD
 
 LENGTH, GRAM = 50, 20
 
@@ -47,3 +48,25 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def dedup_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with n_tokens, n_removed, n_spans, n_factors and kept_sha256, of the kept words joined by one space."""
     return _apply(docs, length, _kept_words)
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The op2 query as SQL: every window of every text, by its words."""
+    return f"""with t as (
+  select doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) as w from documents),
+windows as (
+  select doc_id, i, md5(array_to_string(w[i:i + {length - 1}], ' ')) as k from (
+    select doc_id, w, unnest(range(1, len(w) - {length - 2})) as i from t where len(w) >= {length})),
+late as (
+  select doc_id, i from windows join (select k, min(doc_id) as first from windows group by k) using (k) where doc_id > first),
+gone as (
+  select distinct doc_id, unnest(range(i, i + {length})) as i from late),
+runs as (
+  select doc_id, count(*) as n_removed, count(*) filter (before is null or before < i - 1) as n_spans from (
+    select doc_id, i, lag(i) over (partition by doc_id order by i) as before from gone) group by doc_id),
+words as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from t where len(w) > 0),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) as text from words anti join gone using (doc_id, i) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(coalesce(kept.text, '')) as kept_sha256
+from t left join runs using (doc_id) left join kept using (doc_id)"""
