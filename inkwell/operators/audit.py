@@ -116,6 +116,20 @@ def summary(docs: DataFrame, topic: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def leaks(docs: DataFrame) -> DataFrame:
+    """One row: texts with what cleaning should have removed, and mean newlines and characters (0 without texts)."""
+    t = F.col("text")
+    tests = {"wrote": t.contains("wrote:"), "quote_from": t.contains("Quote from:"), "starts_quote": t.startswith("Quote"), "link": t.contains("http")}
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return docs.agg(*(F.count_if(p).alias(k) for k, p in tests.items()), mean(T.occurrences(t, "\n")).alias("newlines"), mean(F.length(t)).alias("chars"))
+
+
+def classifier_check(folds: DataFrame, limit: float = 0.9) -> DataFrame:
+    """The naive classifier's folds -> one more check: its mean accuracy is `limit` at most."""
+    row = folds.agg(F.avg("accuracy").alias("metric"))
+    return row.select(F.lit("classifier").alias("check"), F.round("metric", 6).alias("metric"), F.lit(limit).alias("threshold"), (F.col("metric") <= limit).alias("passed"))
+
+
 def verdict(checks: DataFrame) -> DataFrame:
     """One row: how many checks, and whether all passed."""
     return checks.agg(F.count("*").alias("checks"), F.bool_and("passed").alias("passed"))

@@ -7,13 +7,14 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as X
 from ..functions import text as T
 from ..operators import audit, clean, corpus, model, score, terms
-from ..sources import files, html
+from ..sources import files, html, pages
 from . import cleaning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,6 +241,13 @@ _KS = f"""with d as (select max(abs(p / ps - n / ns)) as d, max(ps) as ps, max(n
 r as (select d, sqrt(ps * ns / (ps + ns)) as root from d),
 l as (select d, (root + 0.12 + 0.11 / root) * d as lam from r)
 select case when d < 1e-9 then 1 else greatest(0, least(1, list_sum([(case when j % 2 = 1 then 2 else -2 end) * exp(-2 * j * j * lam * lam) for j in range(1, 101)]))) end as metric from l"""
+
+
+@query()
+def classifier_check(spark, sf_dir):
+    return audit.classifier_check(naive_tfidf_lr(spark, sf_dir))
+
+
 SUMMARY = " union all ".join([
     _gap_sql(SQL["source_parity"], "source parity", 10),
     _line_sql(_KS, "length", 0.05, "metric > 0.05"),
@@ -584,7 +592,7 @@ def url_topic_id(spark, sf_dir):
 def forum_posts(spark, sf_dir):
     safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     body = F.concat(F.lit('<td class="poster_info"><a href="u">'), "source", F.lit('</a></td><div class="post">'), safe, F.lit("</div>"))
-    return docs(spark, sf_dir).select("doc_id", F.inline(html.posts(F.concat(body, body))))
+    return docs(spark, sf_dir).select("doc_id", F.inline(html.posts(F.concat(body, body)))).drop("date")
 
 
 PAGE = "concat('From: ann x', chr(10), 'Date: today', chr(10), text, chr(10), '> quoted', chr(10), 'from: Ann y', chr(10), 'Subject: more', chr(10), text)"
@@ -609,6 +617,80 @@ def block_split_any_case(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.explode(files.blocks(F.expr(PAGE), "ANN", any_case=True)).alias("body"))
 
 
+# Scans
+
+DATED = "concat('<div class=\"smalltext\">day ', doc_id, '</div><div class=\"post\">', {0}, '</div><div class=\"smalltext\">', repeat('long ', 12), '</div><div class=\"post\">', {0}, '</div>')"
+
+
+@query(f"select doc_id, case when i = 0 then concat('day ', doc_id) end as date from documents, range(2) t(i) where len({_trim('text')}) >= 30")
+def post_dates(spark, sf_dir):
+    safe = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
+    return docs(spark, sf_dir).select("doc_id", F.inline(html.posts(F.expr(DATED.format(safe))))).select("doc_id", "date")
+
+
+@query("select * from conversations c where turn < coalesce((select min(turn) from conversations e where e.conv_id = c.conv_id and len(e.text) % 4 = 0), 1000000000)")
+def paged_scan(spark, sf_dir):
+    return pages.until_empty(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text") % 4 != 0)
+
+
+@query(f"select page_id, title from ({SQL['html_title_links']}) where regexp_matches(lower(title), 'ba|ne')")
+def subject_scan(spark, sf_dir):
+    titled = table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+    return pages.about(titled, F.col("title"), ["BA", "ne"])
+
+
+@query(f"select doc_id, source, substr(text, 1, 3000) as text from documents where {WC} >= 30 qualify row_number() over (partition by source order by doc_id) <= 20")
+def writer_scan(spark, sf_dir):
+    return pages.by_writer(docs(spark, sf_dir).select("doc_id", "source", "text"), "source", "doc_id", 30, 3000, 20)
+
+
+@query("select doc_id, source from documents where lower(coalesce(source, '')) <> 'src1'")
+def others_equal(spark, sf_dir):
+    return pages.without_author(docs(spark, sf_dir), "source", "SRC1").select("doc_id", "source")
+
+
+@query("select doc_id, source from documents where not contains(lower(coalesce(source, '')), 'src1')")
+def others_containing(spark, sf_dir):
+    return pages.without_author(docs(spark, sf_dir), "source", "SRC1", within=True).select("doc_id", "source")
+
+
+ARTICLE = "concat('p = 1 - q', chr(10), text, chr(10), '  z = p * (q - p)', chr(10), '(p < q)', chr(10), 'Proof: p = q', chr(10), 'q = 2')"
+_PROSE = cleaning.drop_lines(rf"regexp_matches({_S}, '^[pqz\s=\-\+\*\(\)\{{\}}\<\>\.]+$')", cleaning.starts(pages.FORMULA_HEADS))
+
+
+@query(f"select doc_id, {_trim(_PROSE)} as text from (select doc_id, {ARTICLE} as text from documents)")
+def article_prose(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", pages.prose(F.expr(ARTICLE)).alias("text"))
+
+
+MAIL = """concat('<a href="/info/1"> </a><a href="x/info/2">a@b</a><a href="/x">No</a><a href="/info/3"><b>Writer ', doc_id, '</b></a><div class="c msgBody">', {0}, '<p>end</p></div>')"""
+
+
+@query(f"select doc_id, concat('Writer ', doc_id) as author, case when len({_trim('concat(text, chr(101), chr(110), chr(100))')}) >= 50 then {_trim('concat(text, chr(101), chr(110), chr(100))')} end as body from (select doc_id, replace(text, '<', '(') as text from documents)")
+def mail_pages(spark, sf_dir):
+    page = F.expr(MAIL.format("replace(text, '<', '(')"))
+    return docs(spark, sf_dir).select("doc_id", pages.mail_author(page).alias("author"), pages.mail_body(page).alias("body"))
+
+
+CLASSED = """concat('<div class="message other"><div class="body">', {0}, '</div></div><div class="x message own"><div class="header">Date: day ', doc_id, '<br>Subject: s</div><div class="body">', {0},
+'<br>On a day x wrote:<br>&gt; quoted</div></div><div class="message own"><pre>', {0}, '</pre>tail</div>')"""
+_QUOTELESS = _trim(cleaning.drop_lines(f"starts_with({_S}, '>')", f"regexp_matches({_S}, '^On .+ wrote:')"))
+
+
+@query(f"select doc_id, case when i = 0 then concat('day ', doc_id) end as date, case when i = 0 then 's' end as subject, {_QUOTELESS} as text from documents, range(2) t(i) where len(regexp_extract_all({_QUOTELESS}, '[^\\s]+')) >= 5")
+def classed_messages(spark, sf_dir):
+    safe = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
+    return docs(spark, sf_dir).select("doc_id", F.inline(pages.messages(F.expr(CLASSED.format(safe)), "own")))
+
+
+_LEAK = {"wrote": "contains(text, 'wrote:')", "quote_from": "contains(text, 'Quote from:')", "starts_quote": "starts_with(text, 'Quote')", "link": "contains(text, 'http')"}
+
+
+@query("select " + ", ".join(f"count(*) filter ({x}) as {k}" for k, x in _LEAK.items()) + f", round(coalesce(avg(len(text) - len(replace(text, chr(10), ''))), 0), 6) as newlines, round(coalesce(avg(len(text)), 0), 6) as chars from {DECORATED_SQL}")
+def leak_report(spark, sf_dir):
+    return audit.leaks(decorated(spark, sf_dir))
+
+
 @query("select r as id, format('http://archive/{}/', r) as url from range(5, 544) t(r)")
 def id_grid(spark, sf_dir):
     return files.grid(spark, 5, 543, "http://archive/%d/")
@@ -618,7 +700,8 @@ def id_grid(spark, sf_dir):
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.folds(class_rows(spark, sf_dir), "label", "doc_id").select("doc_id", "label", "fold", *X.names()).cache()
+    """Features, label and fold of the labelled documents; computed once for all folds and released with the session."""
+    return corpus.folds(class_rows(spark, sf_dir), "label", "doc_id").select("doc_id", "label", "fold", *X.names()).persist(StorageLevel.DISK_ONLY)
 
 
 @query()
@@ -636,13 +719,36 @@ def gbt_holdout(spark, sf_dir):
     return model.cross_validate(_folded(spark, sf_dir), X.names(), "gbt", folds=1, rounds=200)
 
 
+@query()
+def rf_importances(spark, sf_dir):
+    """The 20 most important features of a forest of 200 trees, fitted on all rows."""
+    fitted = model.fit(class_rows(spark, sf_dir), X.names(), "rf", trees=200)
+    return spark.createDataFrame(model.importances(fitted, X.names()), "feature string, importance double")
+
+
+@query()
+def lr_coefficients(spark, sf_dir):
+    """The 10 greatest and the 10 least coefficients of a logistic regression, fitted on all rows."""
+    top, bottom = model.coefficients(model.fit(class_rows(spark, sf_dir), X.names(), "lr"), X.names())
+    return spark.createDataFrame([(end, i + 1, f, c) for end, rows in (("top", top), ("bottom", bottom)) for i, (f, c) in enumerate(rows)], "end string, place int, feature string, coefficient double")
+
+
+@query()
+def refit_scores(spark, sf_dir):
+    """Scores of all labelled documents by a logistic regression fitted on all of them."""
+    rows = class_rows(spark, sf_dir)
+    return model.score(rows, model.fit(rows, X.names(), "lr"), ["doc_id", "label"])
+
+
 @query()
 def grid_best(spark, sf_dir):
-    """Mean F1 of each classifier on each family of features; the best is the first of the highest."""
+    """Mean F1 over five folds of each classifier on each family of features, and the best: the first of the highest."""
     rows, families = _folded(spark, sf_dir), {"words": [c for c in X.names() if c.startswith("fw_")], "all": X.names()}
-    grid = [(f, k, model.cross_validate(rows, names, k, folds=1, **({} if k == "lr" else {"trees": 20}))) for f, names in families.items() for k in ("lr", "rf")]
-    parts = [d.select(F.lit(i).alias("rank"), F.lit(f).alias("family"), F.lit(k).alias("kind"), F.coalesce("f1", F.lit(0.0)).alias("f1")) for i, (f, k, d) in enumerate(grid)]
-    return reduce(DataFrame.unionByName, parts)
+    grid = [(f, k, model.cross_validate(rows, names, k, **({} if k == "lr" else {"trees": 20}))) for f, names in families.items() for k in ("lr", "rf")]
+    parts = [d.groupBy().agg(F.max("mean_f1").alias("f1")).select(F.lit(i).alias("rank"), F.lit(f).alias("family"), F.lit(k).alias("kind"), "f1") for i, (f, k, d) in enumerate(grid)]
+    found = reduce(DataFrame.unionByName, parts)
+    best = found.agg(F.min_by("rank", F.struct(-F.col("f1"), "rank")).alias("first"))
+    return found.join(F.broadcast(best)).select("rank", "family", "kind", "f1", (F.col("rank") == F.col("first")).alias("best"))
 
 
 @query()

@@ -46,3 +46,17 @@ def blocks(text: Column, author: str, least: int = 10, any_case: bool = False) -
 def write_splits(rows: DataFrame, folder: str) -> None:
     """One folder a split, JSON lines."""
     rows.write.mode("overwrite").partitionBy("split").json(folder)
+
+
+def write_set(values: DataFrame, column: str, path: str) -> None:
+    """The distinct values of a column, ascending, one a line; an earlier set there is replaced."""
+    values.select(F.col(column).cast("string").alias(column), F.col(column).alias("by")).where(F.col("by").isNotNull()).distinct().orderBy("by").select(column).write.mode("overwrite").text(path)
+
+
+def replace(tables: dict[str, DataFrame], folder: str) -> list[str]:
+    """Each table written as JSON lines to its own folder, in place of what was there; the names of those that were empty."""
+    empty = [name for name, rows in tables.items() if rows.isEmpty()]
+    for name, rows in tables.items():
+        if name not in empty:
+            rows.write.mode("overwrite").json(f"{folder}/{name}")
+    return empty

@@ -83,22 +83,31 @@ def tree_text(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
+#: A line before a post that is no date has this many characters or more.
+DATE = 50
+
+
 class _Posts(HTMLParser):
-    """author and text of each div.post, its inner divs included; the author is the first link of the nearest td.poster_info before it."""
+    """author, text and date of each div.post, its inner divs included; the author is the first link of the nearest
+    td.poster_info before it, the date the nearest div.smalltext before it, if that is short."""
 
     def __init__(self):
         super().__init__()
         self.depth, self.open, self.found = 0, [], []
         self.cells, self.cell, self.author, self.link = 0, 0, None, None
+        self.small, self.date = None, None
 
     def handle_starttag(self, tag, attrs):
         kinds = (dict(attrs).get("class") or "").split()
         if tag == "div":
             self.depth += 1
             if "post" in kinds:
-                post = {"at": self.depth, "author": self.author, "text": []}
+                date = "".join(self.date).strip() if self.date else ""
+                post = {"at": self.depth, "author": self.author, "text": [], "date": date if 0 < len(date) < DATE else None}
                 self.open.append(post)
                 self.found.append(post)
+            elif "smalltext" in kinds:
+                self.small, self.date = self.depth, []
         elif tag == "td":
             self.cells += 1
             if "poster_info" in kinds:
@@ -109,6 +118,7 @@ class _Posts(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "div" and self.depth:
             self.open = [p for p in self.open if p["at"] < self.depth]
+            self.small = None if self.small == self.depth else self.small
             self.depth -= 1
         elif tag == "td" and self.cells:
             if self.cell == self.cells:
@@ -122,21 +132,23 @@ class _Posts(HTMLParser):
             return  # script or style
         for post in self.open:
             post["text"].append(data)
+        if self.small is not None:
+            self.date.append(data)
         if self.link is not None:
             self.link.append(data)
 
 
-@F.pandas_udf(ArrayType(StructType().add("author", "string").add("text", "string")))
+@F.pandas_udf(ArrayType(StructType().add("author", "string").add("text", "string").add("date", "string")))
 def _posts(html: pd.Series) -> pd.Series:
     def one(x):
         page = _Posts()
         page.feed(x or "")
         page.close()
-        return [{"author": p["author"] or "unknown", "text": "\n".join(p["text"]).strip()} for p in page.found]
+        return [{"author": p["author"] or "unknown", "text": "\n".join(p["text"]).strip(), "date": p["date"]} for p in page.found]
 
     return html.map(one)
 
 
 def posts(html: Column, least: int = 30) -> Column:
-    """author and text of each div.post, of texts of `least` characters or more; inner divs belong to the text."""
+    """author, text and date of each div.post, of texts of `least` characters or more; inner divs belong to the text."""
     return F.filter(_posts(html), lambda x: F.length(x["text"]) >= least)

@@ -32,3 +32,33 @@ def test_kernel_bound_is_a_parameter(spark, monkeypatch):
     model.fit_kernel(rows, ["x"], most=20)
     model.fit_kernel(rows, ["x"])
     assert seen == [20, 50]
+
+
+def test_refit_report_and_reload(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 2, float(i % 2 * 3 + i % 5), float(i % 7)) for i in range(60)], "doc_id long, label int, x double, noise double")
+    for kind, options in (("lr", {}), ("rf", {"trees": 5})):
+        fitted = model.fit(rows, ["x", "noise"], kind, **options)
+        model.save(fitted, str(tmp_path / kind))
+        first, again = ({r.doc_id: r.score for r in model.score(rows, m, ["doc_id"]).collect()} for m in (fitted, model.load(str(tmp_path / kind))))
+        assert first == again and sum(first[i] > 0.5 for i in range(1, 60, 2)) > 20
+        if kind == "rf":
+            assert model.importances(fitted, ["x", "noise"], 1)[0][0] == "x"
+        else:
+            top, bottom = model.coefficients(fitted, ["x", "noise"], 1)
+            assert top[0][0] == "x" and top[0][1] > bottom[0][1]
+
+
+def test_features_are_divided_by_the_deviation_of_all_rows(spark):
+    rows = spark.createDataFrame([(0, 1.0), (1, 3.0), (1, 8.0), (0, 4.0)], "label int, x double")
+    fitted = model.fit(rows, ["x"], "lr")
+    got = sorted(r.scaled[0] for r in fitted.transform(rows).collect())
+    x = [1.0, 3.0, 4.0, 8.0]
+    deviation = (sum((v - 4) ** 2 for v in x) / 4) ** 0.5
+    assert got == pytest.approx([(v - 4) / deviation for v in x])
+
+
+def test_folds_have_mean_and_deviation(spark):
+    rows = spark.createDataFrame([(i % 2, i % 4 // 2, float(i % 2 + i % 3)) for i in range(40)], "label int, fold int, x double")
+    got = model.cross_validate(rows, ["x"], "lr", folds=2).collect()
+    f = [r.f1 for r in got]
+    assert got[0].mean_f1 == pytest.approx(sum(f) / 2) and got[0].deviation_f1 == pytest.approx(abs(f[0] - f[1]) / 2)
