@@ -18,7 +18,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch between the JVM and Python workers: both sides hold whole batches of whole texts.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Cut the session's Arrow batches to BATCH_ROWS, unless they are shorter already."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -83,6 +95,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             upto = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+    pa.default_memory_pool().release_unused()  # what one task took is not kept through the next ones
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

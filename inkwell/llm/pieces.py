@@ -162,7 +162,7 @@ class Encoder:
             last, piece = (pair >> 32) - 3, pair & 0xFFFFFFFF
             both = [*([last] if last >= 0 else []), piece]
             got = self.v.merge(b"".join(self.v.pieces[i] for i in both)) == both
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
             self.pairs[pair] = got
         return got
