@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import least, mix, slices
+from .common import SLICE_BYTES, least, mix, slices
 
 ORDER, DISCOUNT = 5, 0.75
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 5_000
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, models: Models, keep: list[str] | None = None) ->
     given, shared = plain.columns if keep is None else keep, docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES // 4):  # n-grams of all orders take a hundred times the text
             names, score, taken = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), pa.array(names), pa.array(score), pa.array(taken)], [*given, "lang_pred", "score", "accepted"])
 
