@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -47,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own: list[str] = []
+#: Of the GNU C library alone.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -95,7 +98,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             upto = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
-    pa.default_memory_pool().release_unused()  # what one task took is not kept through the next ones
+    release()
+
+
+def release() -> None:
+    """Give free memory of Arrow and of the C library back: a worker serves many tasks, and keeps what they took at most otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

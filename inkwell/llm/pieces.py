@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding, by suffix-array matching.
 
 A text's spaces become the mark of a word's start, and since no piece has this mark behind another character, text is
-encoded in units that begin with it. The units that a batch has for the first time are joined to one text; its suffixes
+encoded in units that begin with it. The units that a batch has for the first time are joined to texts; a text's suffixes
 are sorted, every piece is binary-searched for the range of suffixes that begin with it, and the occurrences are edges
 of a graph over the places of the text. Edges are sorted by where they end in their unit and relaxed in this order: of
 the edges that end at a place the longest is kept whose pair with the last piece before it is one that byte-pair
@@ -35,6 +35,8 @@ MARK = "▁".encode()
 _UNIT = re.compile(rb" +[^ ]*")
 #: Units that a worker remembers before it starts anew.
 REMEMBERED = 300_000
+#: Bytes of new units whose suffixes are sorted at once; edges take some hundred times that.
+AT_ONCE = 1 << 17
 #: Pairs of pieces that are looked up without a dictionary: a slot for each value of these bits of a hash.
 SLOT_BITS = 21
 _NONE, _START, _CHAR = -3, -2, -1
@@ -226,7 +228,7 @@ class Encoder:
             if not some:
                 continue
             if some is plain:
-                ids, counts = self._relax(some)
+                ids, counts = (np.concatenate(x) for x in zip(*map(self._relax, self._parts(some)), strict=True))
             else:
                 parts = [self._spaced(u) for u in some]
                 ids, counts = np.concatenate(parts).astype(np.int32), np.array([len(p) for p in parts], np.int64)
@@ -234,6 +236,17 @@ class Encoder:
             self.known.update(zip(some, range(len(self.starts), len(self.starts) + len(some)), strict=True))
             self.ids, self.starts, self.counts = np.r_[self.ids, ids], np.r_[self.starts, starts], np.r_[self.counts, counts]
 
+    @staticmethod
+    def _parts(units: list[bytes]) -> Iterator[list[bytes]]:
+        """The units in order of length, cut at about AT_ONCE bytes; a longer unit is a part of its own. Reorders the list."""
+        units.sort(key=len)
+        ends = np.cumsum([len(u) + 1 for u in units])
+        at = 0
+        while at < len(units):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+            yield units[at:upto]
+            at = upto
+
     def _spaced(self, unit: bytes) -> np.ndarray:
         """Extra spaces, then the rest as a unit: pieces of spaces score below all others, so they merge last."""
         extra = len(unit) - len(unit.lstrip(b" ")) - (unit.strip(b" ") != b"")
