@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from inkwell.llm import resemblance, simhash
+from pyspark.sql import functions as F
 from test_dedup import words
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -68,3 +70,79 @@ def test_crowded_buckets(spark):
     assert len({label[d] for d in sets if d % 2}) == 1
     left = [d for d in sets if label[d] == d]
     assert not [(a, b) for i, a in enumerate(left) for b in left[i + 1 :] if near(sets[a], sets[b])]
+
+
+def classes(ids, links):
+    label = {d: d for d in ids}
+    while True:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+
+
+def pairs_of(sets):
+    ids = sorted(sets)
+    return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and near(sets[a], sets[b])}
+
+
+def test_partners_behind_many_candidates(spark):
+    """Two near texts, which have more candidates than TRIES that are not near, before them in each bucket."""
+    base, r, rows = [f"w{i}" for i in range(300)], random.Random(5), []
+    places = list(range(5, 295, 6))
+    for pair in range(6):
+        core = [f"p{pair}{w}" for w in base]
+        for i in range(30):
+            text = list(core)
+            for at in r.sample(places, 4):
+                text[at] = f"d{i}x{at}"
+            rows.append((1000 * pair + i, " ".join(text)))
+        own = r.sample(places, 9)
+        for i in (0, 1):
+            text = list(core)
+            for at in own[:3] + own[3 + 3 * i : 6 + 3 * i]:
+                text[at] = f"y{at}"
+            rows.append((1000 * pair + 500 + i, " ".join(text)))
+    sets = {d: grams(t) for d, t in rows}
+    want = pairs_of(sets)
+    assert all((1000 * p + 500, 1000 * p + 501) in want for p in range(6))
+    links = {tuple(sorted(x)) for x in resemblance.links(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert links <= want and classes(sets, links) == classes(sets, want)
+
+
+def test_components_are_those_of_all_pairs(spark):
+    """Texts of all sizes around the bound, with passages that many share."""
+    r, rows = random.Random(11), []
+    common = [f"c{i}" for i in range(40)]
+    for g in range(60):
+        n = r.choice([1, 3, 5, 6, 9, 14, 30, 60, 200])
+        core = [f"g{g}w{i}" for i in range(n)] + (common if g % 3 == 0 else [])
+        for i in range(12):
+            text = list(core)
+            for at in r.sample(range(len(text)), min(len(text), r.randrange(1 + len(text) // 25 + 1))):
+                text[at] = f"e{r.randrange(3)}"
+            cut = r.randrange(1 + len(text) // 6)
+            rows.append((100 * g + i, " ".join(text[cut:] if r.random() < 0.5 else text[: len(text) - cut])))
+    sets = {d: grams(t) for d, t in rows}
+    want, docs = pairs_of(sets), spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    links = {tuple(sorted(x)) for x in resemblance.links(docs).collect()}
+    assert links <= want and classes(sets, links) == classes(sets, want)
+
+
+def test_rest_has_all_near_pairs(spark, monkeypatch):
+    """Without any links, and with crowds dealt to tasks, the exact filters keep each near pair and few others."""
+    monkeypatch.setattr(resemblance, "TILE", 16)
+    base, r, rows = [f"w{i}" for i in range(120)], random.Random(3), []
+    for i in range(150):
+        text = [w if i % 2 else f"o{w}" if at > 40 else w for at, w in enumerate(base)]
+        for at in r.sample(range(120), r.randrange(1, 9)):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    sets = {d: grams(t) for d, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for frequent in (resemblance._frequent(docs), (np.empty(0, np.uint64), np.empty(0, np.int64))):
+        own = resemblance._prints(docs, frequent, 0.8).withColumnRenamed("doc_id", "v").withColumn("row", F.col("v"))
+        links = spark.createDataFrame([], "u long, v long")
+        found = {tuple(x) for x in resemblance._rest(own, own, links, 0.8).collect()}
+        assert pairs_of(sets) <= found and all(a % 2 == b % 2 for a, b in found)
