@@ -162,6 +162,33 @@ def test_links_reach_all_near_pairs_in_crowded_buckets(spark):
     assert {x: roots.get(x, x) for x in fps} == label
 
 
+def test_few_links_take_two_queries(spark, monkeypatch):
+    """Chains, stars and pairs of any sign; as many as FEW are joined by one task, more by rounds of queries, alike."""
+    from inkwell.llm import graph
+
+    r = random.Random(4)
+    ids = [r.getrandbits(64) - (1 << 63) for _ in range(300)]
+    links = list(zip(ids[:99], ids[1:100], strict=True)) + [(ids[100], x) for x in ids[101:180]] + [(r.choice(ids[180:]), r.choice(ids[180:])) for _ in range(60)]
+    label = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in range(100):
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(links, "u long, v long").repartition(3)
+
+    def done():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+    before = done()
+    found = graph.components(df)
+    assert done() - before <= 2
+    assert sorted(map(tuple, found.collect())) == sorted(label.items())
+    assert graph.components(df.where("u = v")).collect() == []
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert sorted(map(tuple, graph.components(df).collect())) == sorted(label.items())
+
+
 def test_crowded_passages(spark, monkeypatch):
     """A passage that many documents of a slice share, cut at different places, between texts of their own."""
     from inkwell.llm import spans
