@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grams
 from ..functions import text as T
+from ..functions.batches import bounded
 
 # Words that don't count as vocabulary, and artifacts.
 STOP_WORDS = "the a an and or but in on at to for of is it that this with from by as be are was were have has had do does did not no can will would could should may might shall".split()
@@ -67,19 +72,43 @@ def ks(docs: DataFrame, value: Column) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, n: int = 200) -> DataFrame:
-    """label, word, count: the n most common words of each class; ties by word."""
-    rows = docs.select("label", F.explode(T.words(F.lower("text"))).alias("word")).withColumn("word", F.regexp_replace("word", "[^a-z]", ""))
-    counts = rows.where((F.length("word") > 2) & ~F.col("word").isin(STOP_WORDS)).groupBy("label", "word").count()
+    """label, word, count: the n most common words of each class; ties by word. Words are counted as they stand, then cut to letters."""
+    raw = docs.select("label", F.explode(T.words(F.lower("text"))).alias("word")).groupBy("label", "word").agg(F.count("*").alias("own"))
+    rows = raw.withColumn("word", F.regexp_replace("word", "[^a-z]", ""))
+    counts = rows.where((F.length("word") > 2) & ~F.col("word").isin(STOP_WORDS)).groupBy("label", "word").agg(F.sum("own").alias("count"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("count"), "word"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
 
 
 def trigrams(docs: DataFrame) -> DataFrame:
-    """tri, pos, neg: counts of each class's overlapping character trigrams."""
-    chars, all_ = F.split("text", ""), F.length("text") - 3
-    tri = F.explode(F.transform(F.sequence(F.lit(0), all_), lambda i: F.concat(F.get("chars", i), F.get("chars", i + 1), F.get("chars", i + 2)))).alias("tri")
-    rows = docs.where(F.length("text") > 2).select("label", "text", chars.alias("chars")).select("label", tri)
-    return rows.groupBy("tri").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    """tri, pos, neg: counts of each class's overlapping character trigrams, summed up in each task before they are shuffled."""
+    bounded(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            pos, neg = zip(*held.values(), strict=True) if held else ((), ())
+            return pa.record_batch({"tri": pa.array(held, pa.string()), "pos": pa.array(pos, pa.int64()), "neg": pa.array(neg, pa.int64())})
+
+        for part in grams.slices(batches):
+            cp, row = grams.points(part.column("text").to_pylist())
+            codes = grams.Codes(cp, 3)
+            label = pc.fill_null(part.column("label").cast(pa.int64()), -1).to_numpy(zero_copy_only=False)[row[: len(codes.code)]]
+            inside = row[: len(codes.code)] == row[2:]
+            for place, own in enumerate((label == 1, label == 0, (label != 1) & (label != 0))):
+                found, n = grams.counted(codes.code[inside & own])
+                for tri, k in zip(codes.named(found), n.tolist(), strict=True):
+                    counts = held.setdefault(tri, [0, 0])
+                    if place < 2:
+                        counts[place] += k
+            if len(held) > grams.HELD:
+                yield out()
+                held.clear()
+        yield out()
+
+    rows = docs.where(F.length("text") > 2).select(F.col("label").cast("long").alias("label"), "text", F.length("text").alias("size"))
+    return rows.mapInArrow(run, "tri string, pos long, neg long").groupBy("tri").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def trigram_problems(docs: DataFrame) -> DataFrame:
