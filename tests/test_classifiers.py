@@ -62,3 +62,18 @@ def test_folds_have_mean_and_deviation(spark):
     got = model.cross_validate(rows, ["x"], "lr", folds=2).collect()
     f = [r.f1 for r in got]
     assert got[0].mean_f1 == pytest.approx(sum(f) / 2) and got[0].deviation_f1 == pytest.approx(abs(f[0] - f[1]) / 2)
+
+
+def test_rows_are_computed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+
+    rows = spark.range(40).selectExpr("int(id % 2) label", "int(id % 4 div 2) fold", "double(id % 2 + id % 3) x").mapInPandas(run, "label int, fold int, x double")
+    model.fit(rows, ["x"], "lr")
+    assert made.value == 40
+    model.cross_validate(rows, ["x"], "lr", folds=2).collect()
+    assert made.value == 80
