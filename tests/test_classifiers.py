@@ -77,3 +77,28 @@ def test_rows_are_computed_once(spark):
     assert made.value == 40
     model.cross_validate(rows, ["x"], "lr", folds=2).collect()
     assert made.value == 80
+
+
+def test_grid_has_the_reference_families_and_classifiers(spark, monkeypatch):
+    seen = []
+
+    def tried(kind):
+        def run(rows, names, *a, **o):
+            seen.append((kind or a[0], len(names), o))
+            return rows.sparkSession.createDataFrame([(0.5,)], "mean_f1 double")
+
+        return run
+
+    monkeypatch.setattr(catalogue.model, "cross_validate", tried(None))
+    monkeypatch.setattr(catalogue.model, "cross_validate_kernel", tried("svm"))
+    got = catalogue.grid_best(spark, SMALL).collect()
+    assert [(k, o) for k, _, o in seen] == [("lr", {}), ("svm", {"c": 10.0}), ("gbt", {"rounds": 300, "depth": 4}), ("rf", {"trees": 300})] * 3
+    assert [n for _, n, _ in seen] == [126] * 4 + [500] * 4 + [626] * 4
+    assert [(r.family, r.kind) for r in got if r.best] == [("style", "lr")]
+
+
+def test_kernel_folds_see_all_other_rows(spark, monkeypatch):
+    monkeypatch.setattr(model, "HELD_BYTES", 0)
+    rows = spark.createDataFrame([(i % 2, i // 2 % 3, float(i % 2) * 2 + i % 7 / 10, float(i % 5)) for i in range(90)], "label int, fold int, x double, y double")
+    got = model.cross_validate_kernel(rows, ["x", "y"], folds=3).collect()
+    assert [r.accuracy for r in sorted(got)] == [1.0] * 3 and got[0].mean_f1 == 1.0 and got[0].deviation_f1 == 0.0
